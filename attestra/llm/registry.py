@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, licenses, mixing, pii, quality, token_counts, url_filter
+from . import chat, decontam, licenses, mixing, ngram_join, pii, quality, token_counts, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,8 @@ def queries() -> dict[str, Query]:
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_url_filters": url_filter.op6_url_filters,
+        "op7_ngram_join": ngram_join.op7_ngram_join,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_license_scans": licenses.op9_license_scans,
         "op10_pii": pii.op10_pii,
     }
@@ -30,5 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontamination": decontam.SQL,
         "op3_mixing": mixing.SQL,
         "op6_url_filters": url_filter.SQL,
+        "op7_ngram_join": ngram_join.SQL,
         "op9_license_scans": licenses.SQL,
     }
