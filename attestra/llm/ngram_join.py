@@ -113,20 +113,39 @@ def _fragments(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def _reordered(docs: DataFrame, hot: np.ndarray, seed: int) -> DataFrame:
-    """(token, s1, n): prefixes under the order that puts ``hot`` (sorted) last."""
+    """(token, s1, n, moved, f, late): prefixes under the order that puts ``hot`` (sorted) last.
+
+    ``moved`` tells whether the token is a moved one, ``f`` is the number of moved shingles in the
+    whole set and ``late`` has those of the prefix.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in _in_pieces(batches, seed):
-            heads = []
+            heads, moved, late = [], [], []
             for s in found:
-                late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-                heads.append(np.concatenate((s[~late], s[late]))[: prefix_length(len(s))])
+                is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+                most, first = prefix_length(len(s)), s[~is_hot]
+                late.append(s[is_hot][: max(0, most - len(first))])
+                moved.append(int(is_hot.sum()))
+                heads.append(np.concatenate((first[:most], late[-1])))
             sizes = [len(h) for h in heads]
-            names = np.repeat(np.array([fingerprint(s, seed)[0] for s in found], np.int64), sizes)
-            n = np.repeat(np.array([len(s) for s in found], np.int32), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(names), pa.array(n)], ["token", "s1", "n"])
+            spread = np.repeat(np.arange(len(found)), sizes)
+            flags = np.concatenate([np.arange(len(h)) >= len(h) - len(x) for h, x in zip(heads, late, strict=True)])
+            names = np.array([fingerprint(s, seed)[0] for s in found], np.int64)
+            n = np.array([len(s) for s in found], np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(heads)),
+                    pa.array(names[spread]),
+                    pa.array(n[spread]),
+                    pa.array(flags),
+                    pa.array(np.array(moved, np.int32)[spread]),
+                    _lists(late).take(pa.array(spread)),
+                ],
+                ["token", "s1", "n", "moved", "f", "late"],
+            )
 
-    return docs.mapInArrow(run, "token long, s1 long, n int")
+    return docs.mapInArrow(run, "token long, s1 long, n int, moved boolean, f int, late array<long>")
 
 
 def _frequent(docs: DataFrame, names: DataFrame, seed: int) -> DataFrame:
@@ -142,7 +161,7 @@ def _frequent(docs: DataFrame, names: DataFrame, seed: int) -> DataFrame:
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """The postings (token, s1, n) whose token occurs more than once.
+    """The postings whose token occurs more than once.
 
     One shuffle by token; runs of equal tokens are found on sorted batches, holding one row.
     """
@@ -168,8 +187,7 @@ def _shared(postings: DataFrame) -> DataFrame:
 
     spark = postings.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = postings.select("token", "s1", "n").repartition(parts, "token").sortWithinPartitions("token")
-    return dealt.mapInArrow(run, "token long, s1 long, n int")
+    return postings.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(run, postings.schema)
 
 
 def _close(n1: str, n2: str) -> str:
@@ -207,22 +225,34 @@ def _star_pairs(classes: DataFrame) -> DataFrame:
 def _placed(postings: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Postings with their component so far, and per token of several components their number and
     the largest."""
-    placed = postings.distinct().join(known.withColumnRenamed("node", "s1"), "s1", "left")
-    placed = stage(placed.select("token", "s1", "n", F.coalesce("root", "s1").alias("comp")), "placed")
+    placed = postings.join(known.withColumnRenamed("node", "s1"), "s1", "left")
+    placed = stage(placed.withColumn("comp", F.coalesce("root", "s1")).drop("root"), "placed")
     per = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
     tokens = per.groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1")
     return placed, stage(tokens.select("token", "comps", F.col("top.comp").alias("major")), "tokens")
 
 
 def _cross_pairs(placed: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(a, b, na, nb): pairs of classes that share a token across components."""
+    """(a, b, na, nb): pairs of classes that share a token across components.
+
+    A prefix that reaches moved shingles holds all others of its text. A pair that meets in a moved
+    shingle therefore either meets in another one too, or has nothing but moved shingles in common, at
+    most the smaller ``f``; and of the moved shingles it meets in, the first alone yields it.
+    """
     rest = placed.join(tokens.select("token", "major"), "token")
-    minor = rest.where("comp != major").select("token", F.col("s1").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    every = rest.select("token", F.col("s1").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), "major")
+    sides = [[F.col(c).alias(c + side) for c in ("s1", "n", "comp", "f", "late")] for side in "xy"]
+    minor = rest.where("comp != major").select("token", "moved", *sides[0])
+    every = rest.select("token", "major", *sides[1])
     # Two rows outside the largest component meet once, in the order of their classes.
-    pairs = minor.join(every, "token").where("cx != cy AND (cy = major OR x < y)").where(_close("nx", "ny"))
+    once = F.expr("compx != compy AND (compy = major OR s1x < s1y)") & F.expr(_close("nx", "ny"))
+    bound = F.expr(f"{100 + PERCENT} * least(fx, fy) >= {PERCENT} * (nx + ny)")
+    first = F.get(F.array_intersect("latex", "latey"), F.lit(0)) == F.col("token")
+    pairs = minor.join(every, "token").where(F.when(once & (~F.col("moved") | bound), ~F.col("moved") | first))
     return pairs.select(
-        F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), F.expr("if(x > y, nx, ny)").alias("na"), F.expr("if(x > y, ny, nx)").alias("nb")
+        F.greatest("s1x", "s1y").alias("a"),
+        F.least("s1x", "s1y").alias("b"),
+        F.expr("if(s1x > s1y, nx, ny)").alias("na"),
+        F.expr("if(s1x > s1y, ny, nx)").alias("nb"),
     ).distinct()
 
 
@@ -274,6 +304,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     known = components(verified(pairs, docs, classes, seed))
 
     postings = stage(_shared(classes.select(F.explode("prefix").alias("token"), "s1", "n")), "postings")
+    postings = postings.withColumns({"moved": F.lit(False), "f": F.lit(0), "late": F.array().cast("array<bigint>")})
     moved = np.empty(0, np.int64)
     for turn in range(HOT_ROUNDS + 1):
         placed, tokens = _placed(postings, known)
@@ -297,7 +328,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         again = docs.join(ids, docs["id"].eqNullSafe(ids["min_id"]), "left_semi")
         top = _frequent(again, concerned, seed).orderBy(F.desc("c"), "token").limit(MOST_HOT).collect()
         moved = np.union1d(moved, np.array([r["token"] for r in top], np.int64))
-        postings = stage(_shared(_reordered(again, moved, seed).join(concerned, "s1", "left_semi").distinct()), "postings")
+        longer = _reordered(again, moved, seed).join(concerned, "s1", "left_semi").dropDuplicates(["token", "s1"])
+        postings = stage(_shared(longer), "postings")
 
     roots = classes.select("s1", "min_id").join(known.withColumnRenamed("node", "s1"), "s1", "left")
     roots = roots.withColumn("root", F.coalesce("root", "s1"))
