@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingle_sets import fingerprint, sets
-from .store import read, stage
+from .store import read, stage, unstage
 
 PERCENT = 75
 FRAGMENTS = 8
@@ -113,10 +113,10 @@ def _fragments(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def _reordered(docs: DataFrame, hot: np.ndarray, seed: int) -> DataFrame:
-    """(token, s1, n, moved, f, late): prefixes under the order that puts ``hot`` (sorted) last.
+    """(token, s1, n, moved, f, late, last): prefixes under the order that puts ``hot`` (sorted) last.
 
     ``moved`` tells whether the token is a moved one, ``f`` is the number of moved shingles in the
-    whole set and ``late`` has those of the prefix.
+    whole set, ``late`` has those of the prefix and ``last`` is the prefix's last token.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,11 +141,12 @@ def _reordered(docs: DataFrame, hot: np.ndarray, seed: int) -> DataFrame:
                     pa.array(flags),
                     pa.array(np.array(moved, np.int32)[spread]),
                     _lists(late).take(pa.array(spread)),
+                    pa.array(np.array([h[-1] if len(h) else 0 for h in heads], np.int64)[spread]),
                 ],
-                ["token", "s1", "n", "moved", "f", "late"],
+                ["token", "s1", "n", "moved", "f", "late", "last"],
             )
 
-    return docs.mapInArrow(run, "token long, s1 long, n int, moved boolean, f int, late array<long>")
+    return docs.mapInArrow(run, "token long, s1 long, n int, moved boolean, f int, late array<long>, last long")
 
 
 def _frequent(docs: DataFrame, names: DataFrame, seed: int) -> DataFrame:
@@ -232,28 +233,45 @@ def _placed(postings: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     return placed, stage(tokens.select("token", "comps", F.col("top.comp").alias("major")), "tokens")
 
 
-def _cross_pairs(placed: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(a, b, na, nb): pairs of classes that share a token across components.
+def _cross_pairs(placed: DataFrame, tokens: DataFrame, left_out: DataFrame) -> DataFrame:
+    """(a, b, na, nb): pairs of classes that share one of ``tokens`` across components.
 
     A prefix that reaches moved shingles holds all others of its text. A pair that meets in a moved
     shingle therefore either meets in another one too, or has nothing but moved shingles in common, at
     most the smaller ``f``; and of the moved shingles it meets in, the first alone yields it.
+
+    The shingles up to the end of the prefix that ends first are all known, so a pair can share no
+    more than those it meets in, those not looked at (moved ones, and ``left_out`` ones) and what
+    follows that prefix.
     """
     rest = placed.join(tokens.select("token", "major"), "token")
-    sides = [[F.col(c).alias(c + side) for c in ("s1", "n", "comp", "f", "late")] for side in "xy"]
+    known = ("s1", "n", "comp", "f", "late", "last")
+    sides = [[F.col(c).alias(c + side) for c in known] for side in "xy"]
     minor = rest.where("comp != major").select("token", "moved", *sides[0])
     every = rest.select("token", "major", *sides[1])
     # Two rows outside the largest component meet once, in the order of their classes.
     once = F.expr("compx != compy AND (compy = major OR s1x < s1y)") & F.expr(_close("nx", "ny"))
     bound = F.expr(f"{100 + PERCENT} * least(fx, fy) >= {PERCENT} * (nx + ny)")
     first = F.get(F.array_intersect("latex", "latey"), F.lit(0)) == F.col("token")
-    pairs = minor.join(every, "token").where(F.when(once & (~F.col("moved") | bound), ~F.col("moved") | first))
-    return pairs.select(
-        F.greatest("s1x", "s1y").alias("a"),
-        F.least("s1x", "s1y").alias("b"),
-        F.expr("if(s1x > s1y, nx, ny)").alias("na"),
-        F.expr("if(s1x > s1y, ny, nx)").alias("nb"),
-    ).distinct()
+    met = minor.join(every, "token").where(F.when(once & (~F.col("moved") | bound), ~F.col("moved") | first))
+    met = met.select(
+        "moved",
+        F.expr("if(s1x < s1y, s1x, s1y)").alias("a"),
+        F.expr("if(s1x < s1y, s1y, s1x)").alias("b"),
+        F.expr("if(s1x < s1y, nx, ny)").alias("na"),
+        F.expr("if(s1x < s1y, ny, nx)").alias("nb"),
+        F.expr("if((size(latex) > 0, lastx) <= (size(latey) > 0, lasty), nx, ny)").alias("ended"),
+        F.least(F.size("latex"), F.size("latey")).alias("unseen"),
+    )
+    pairs = met.groupBy("a", "b", "na", "nb").agg(
+        F.max("ended").alias("ended"), F.max("unseen").alias("unseen"), F.sum(F.when(F.col("moved"), 0).otherwise(1)).alias("c")
+    )
+    skipped = placed.where(~F.col("moved")).join(left_out.select("token"), "token").groupBy("s1").agg(F.count("*").alias("h"))
+    skipped = stage(skipped, "skipped")
+    for side in "ab":
+        pairs = pairs.join(skipped.select(F.col("s1").alias(side), F.col("h").alias(f"h{side}")), side, "left")
+    most = F.expr(f"c + unseen + least(coalesce(ha, 0), coalesce(hb, 0)) + ({PERCENT} * ended + 99) div 100 - 1")
+    return pairs.where((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
 
 
 def _pivot_pairs(placed: DataFrame, hot: DataFrame) -> DataFrame:
@@ -292,8 +310,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     docs = _frame(docs, key, text)
     kind = dict(docs.dtypes)["id"]
     for seed in range(1, 9):
-        rows = stage(_summaries(docs, kind, seed), "sets")
-        classes = stage(_classes(rows), "classes")
+        whole = stage(_summaries(docs, kind, seed), "sets")
+        classes = stage(_classes(whole), "classes")
+        rows = stage(whole.select("id", "n", "s1"), "rows")
+        unstage(whole)
         # Two sets with one 64-bit name would be merged; another seed tells them apart.
         if classes.where("_n1 != _n2 OR _s1 != _s2").isEmpty():
             break
@@ -305,6 +325,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     postings = stage(_shared(classes.select(F.explode("prefix").alias("token"), "s1", "n")), "postings")
     postings = postings.withColumns({"moved": F.lit(False), "f": F.lit(0), "late": F.array().cast("array<bigint>")})
+    postings = postings.join(classes.select("s1", F.element_at("prefix", -1).alias("last")), "s1")
     moved = np.empty(0, np.int64)
     for turn in range(HOT_ROUNDS + 1):
         placed, tokens = _placed(postings, known)
@@ -318,7 +339,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         old = spark.createDataFrame(pd.DataFrame({"token": moved}), "token long")
         last = turn == HOT_ROUNDS or hot.join(F.broadcast(old), "token", "left_anti").isEmpty()  # at most MOST_HOT rows
         # Where only moved shingles are left, or after the last turn, hot ones are compared too.
-        pairs = stage(_cross_pairs(placed, tokens if last else tokens.where(F.col("comps") <= HOT)), "pairs")
+        some, others = (tokens, tokens.limit(0)) if last else (tokens.where(F.col("comps") <= HOT), hot)
+        pairs = stage(_cross_pairs(placed, some, others), "pairs")
         known = _add(known, verified(pairs, docs, classes, seed))
         if last:
             break

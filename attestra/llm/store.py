@@ -7,6 +7,7 @@ it back. Where the setting is absent (tests, a laptop) a private folder is made
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,15 +32,31 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it reread, without its lineage.
 
-    The folder is removed when the driver's file system client closes.
+    The folder is removed by ``unstage``, or when the driver's file system client closes. Shuffle
+    files of queries that nothing refers to any more are cleaned as soon as the driver collects
+    its garbage, so it is asked to.
     """
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/attestra-{uuid.uuid4().hex}/{label}"
     df.write.parquet(where)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path.getParent())
-    return spark.read.schema(df.schema).parquet(where)
+    files, path = _files(spark, where)
+    files.deleteOnExit(path.getParent())
+    out = spark.read.schema(df.schema).parquet(where)
+    out.staged_at = where
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove a staged table that is no longer read."""
+    files, path = _files(df.sparkSession, df.staged_at)
+    files.delete(path.getParent(), True)
+
+
+def _files(spark: SparkSession, where: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
