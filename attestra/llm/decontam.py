@@ -18,12 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import read, stage
-from .words import LETTER_WORD, SHINGLE, shingle_rows, sized_broadcast, words
+from .words import LETTER_WORD, SHINGLE, keep_ids, shingle_rows, sized_broadcast, words
 
 #: Containment in hundredths.
 PERCENT = 75
-#: Rows of a table that may be broadcast (a row is two numbers, so some 64 MB at most).
-BROADCAST_ROWS = 1_000_000
 
 
 def item_shingles(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -79,16 +77,16 @@ def contained(
     n_probes = probes.count()
 
     found = document_shingles(docs, lengths, key, text)
-    hit = found.join(sized_broadcast(probes, n_probes, BROADCAST_ROWS), ["len", "h"])
+    hit = found.join(sized_broadcast(probes, n_probes), ["len", "h"])
     candidates = stage(hit.select("doc", "item").distinct(), "candidates")
     if candidates.isEmpty():
         return spark.createDataFrame([], f"{key} long, {item_key} long, n_shared long, n_item long, containment double").select(
             F.col(key).cast(dict(docs.dtypes)[key]), F.col(item_key).cast(dict(items.dtypes)[item_key]), "n_shared", "n_item", "containment"
         )
 
-    hold = candidates.select(F.col("doc").alias("_doc")).distinct()
-    again = docs.join(hold, docs[key].eqNullSafe(hold["_doc"]), "left_semi")
-    shared = document_shingles(again, lengths, key, text).join(sized_broadcast(all_items, n_items, BROADCAST_ROWS), ["len", "h"])
+    hold = stage(candidates.select("doc").distinct(), "hold")
+    again = keep_ids(docs, key, hold)
+    shared = document_shingles(again, lengths, key, text).join(sized_broadcast(all_items, n_items), ["len", "h"])
     shared = shared.select("doc", "item", "n", "len", "h").distinct().groupBy("doc", "item", "n").agg(F.count("*").alias("n_shared"))
     verified = shared.where(100 * F.col("n_shared") >= percent * F.col("n"))
     wanted = candidates.select(F.col("doc").alias("_doc"), F.col("item").alias("_item"))

@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .decontam import BROADCAST_ROWS, PERCENT, document_shingles, item_shingles
+from .decontam import PERCENT, document_shingles, item_shingles
 from .store import read, stage
-from .words import LETTER_WORD, SHINGLE, shingle_rows, sized_broadcast, words
+from .words import LETTER_WORD, SHINGLE, keep_ids, shingle_rows, sized_broadcast, words
 
 BANDS = 16
 #: By the most shingles of a template: the stride (and length of a piece), the width of a window
@@ -107,19 +107,19 @@ def scan(docs: DataFrame, templates: DataFrame, percent: int = PERCENT, key: str
         if not (n := table.count()):
             continue
         starts = F.sequence(F.lit(0), F.size("h") - 1, F.lit(stride))
-        hit = _bands(hashed, width, functions, starts).join(sized_broadcast(table, n, BROADCAST_ROWS), "band").select("id", "license")
+        hit = _bands(hashed, width, functions, starts).join(sized_broadcast(table, n), "band").select("id", "license")
         wanted = hit if wanted is None else wanted.unionAll(hit)
     if short := [n for n in lengths if n < SHINGLE]:
-        tiny = sized_broadcast(known.where(F.col("len") < SHINGLE), n_known, BROADCAST_ROWS)
+        tiny = sized_broadcast(known.where(F.col("len") < SHINGLE), n_known)
         hit = document_shingles(docs, short, key, text).join(tiny, ["len", "h"]).select(F.col("doc").alias("id"), F.col("item").alias("license"))
         wanted = hit if wanted is None else wanted.unionAll(hit)
     if wanted is None:
         wanted = docs.select(F.col(key).alias("id"), F.lit("").alias("license")).limit(0)
     wanted = stage(wanted.distinct().select(F.col("id").alias("_id"), F.col("license").alias("_license")), "candidates")
 
-    hold = wanted.select("_id").distinct()
-    again = docs.join(hold, docs[key].eqNullSafe(hold["_id"]), "left_semi")
-    shared = document_shingles(again, lengths, key, text).join(sized_broadcast(known, n_known, BROADCAST_ROWS), ["len", "h"])
+    hold = stage(wanted.select("_id").distinct(), "hold")
+    again = keep_ids(docs, key, hold)
+    shared = document_shingles(again, lengths, key, text).join(sized_broadcast(known, n_known), ["len", "h"])
     shared = shared.select("doc", "item", "n", "len", "h").distinct().groupBy("doc", "item", "n").agg(F.count("*").alias("n_shared"))
     kept = shared.where(100 * F.col("n_shared") >= percent * F.col("n"))
     kept = kept.join(wanted, F.col("doc").eqNullSafe(F.col("_id")) & F.col("item").eqNullSafe(F.col("_license")), "left_semi")

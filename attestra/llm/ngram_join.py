@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shingle_sets import fingerprint, sets
 from .store import read, stage, unstage
+from .words import keep_ids
 
 PERCENT = 75
 FRAGMENTS = 8
@@ -149,16 +150,15 @@ def _reordered(docs: DataFrame, hot: np.ndarray, seed: int) -> DataFrame:
     return docs.mapInArrow(run, "token long, s1 long, n int, moved boolean, f int, late array<long>, last long")
 
 
-def _frequent(docs: DataFrame, names: DataFrame, seed: int) -> DataFrame:
-    """(token, c): shingles that more than ``HOT`` of the named classes (s1) hold anywhere."""
+def _frequent(docs: DataFrame, seed: int) -> DataFrame:
+    """(token, c): shingles that more than ``HOT`` of the rows hold anywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in _in_pieces(batches, seed):
-            owners = [fingerprint(s, seed)[0] for s in found]
-            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), _lists(found)], ["s1", "all"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["token"])
 
-    held = docs.mapInArrow(run, "s1 long, all array<long>").join(names, "s1", "left_semi").dropDuplicates(["s1"])
-    return held.select(F.explode("all").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > HOT)
+    tokens = docs.mapInArrow(run, "token long")
+    return tokens.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > HOT)
 
 
 def _shared(postings: DataFrame) -> DataFrame:
@@ -199,19 +199,21 @@ def _close(n1: str, n2: str) -> str:
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
     """The (a, b) whose sets are linked: partial overlaps are counted per fragment and summed.
 
-    ``pairs`` has a, b and the sizes na, nb; ``classes`` tells which rows hold a class.
+    ``pairs``, a staged table that goes, has a, b and the sizes na, nb; ``classes`` tells on which
+    smallest id a class lives. Other rows with that id, or copies of it, do no harm: a pair's overlap
+    in a fragment counts once.
     """
     nodes = pairs.select(F.col("a").alias("s1")).unionAll(pairs.select(F.col("b").alias("s1"))).distinct()
-    rows = classes.join(nodes, "s1", "left_semi").select("min_id")
-    held = docs.join(rows, docs["id"].eqNullSafe(rows["min_id"]), "left_semi")
-    # A class lives on its smallest id; rows that share that id but not the set fall out here.
-    parts = _fragments(held, seed).join(nodes, "s1", "left_semi").dropDuplicates(["s1", "frag"])
-    parts = stage(parts, "fragments")
+    ids = stage(classes.join(nodes, "s1", "left_semi").select("min_id").distinct(), "ids")
+    parts = stage(_fragments(keep_ids(docs, "id", ids), seed), "fragments")
     left = pairs.join(parts.withColumnRenamed("s1", "a"), "a").withColumnRenamed("part", "_left")
     both = left.join(parts.withColumnRenamed("s1", "b"), ["b", "frag"])
-    partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("_left", "part")).alias("overlap"))
+    partial = both.select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("_left", "part")).alias("overlap")).distinct()
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-    return total.where(f"100 * overlap >= {PERCENT} * (na + nb - overlap)").select("a", "b")
+    out = stage(total.where(f"100 * overlap >= {PERCENT} * (na + nb - overlap)").select("a", "b"), "links")
+    for done in (pairs, ids, parts):
+        unstage(done)
+    return out
 
 
 def _star_pairs(classes: DataFrame) -> DataFrame:
@@ -287,7 +289,6 @@ def _pivot_pairs(placed: DataFrame, hot: DataFrame) -> DataFrame:
 
 def _add(known: DataFrame, links: DataFrame) -> DataFrame:
     """Components after further links."""
-    links = stage(links, "links")
     if links.isEmpty():
         return known
     return components(links.select("a", "b").unionAll(known.select(F.col("node").alias("a"), F.col("root").alias("b"))))
@@ -323,8 +324,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     pairs = stage(_star_pairs(classes), "stars")
     known = components(verified(pairs, docs, classes, seed))
 
-    postings = stage(_shared(classes.select(F.explode("prefix").alias("token"), "s1", "n")), "postings")
-    postings = postings.withColumns({"moved": F.lit(False), "f": F.lit(0), "late": F.array().cast("array<bigint>")})
+    staged = stage(_shared(classes.select(F.explode("prefix").alias("token"), "s1", "n")), "postings")
+    postings = staged.withColumns({"moved": F.lit(False), "f": F.lit(0), "late": F.array().cast("array<bigint>")})
     postings = postings.join(classes.select("s1", F.element_at("prefix", -1).alias("last")), "s1")
     moved = np.empty(0, np.int64)
     for turn in range(HOT_ROUNDS + 1):
@@ -334,6 +335,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             # What is still hot after passages have moved are large groups: contract them first.
             pairs = stage(_pivot_pairs(placed, hot), "pivots")
             known = _add(known, verified(pairs, docs, classes, seed))
+            unstage(placed)
             placed, tokens = _placed(postings, known)
             hot = tokens.where(F.col("comps") > HOT)
         old = spark.createDataFrame(pd.DataFrame({"token": moved}), "token long")
@@ -346,12 +348,14 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             break
         # Pairs that share nothing but hot shingles so far lie among the texts that hold one.
         concerned = stage(placed.join(hot, "token", "left_semi").select("s1").distinct(), "concerned")
-        ids = classes.join(concerned, "s1", "left_semi").select("min_id")
-        again = docs.join(ids, docs["id"].eqNullSafe(ids["min_id"]), "left_semi")
-        top = _frequent(again, concerned, seed).orderBy(F.desc("c"), "token").limit(MOST_HOT).collect()
+        ids = stage(classes.join(concerned, "s1", "left_semi").select("min_id").distinct(), "ids")
+        for done in (staged, placed, tokens):
+            unstage(done)
+        again = keep_ids(docs, "id", ids)
+        top = _frequent(again, seed).orderBy(F.desc("c"), "token").limit(MOST_HOT).collect()
         moved = np.union1d(moved, np.array([r["token"] for r in top], np.int64))
         longer = _reordered(again, moved, seed).join(concerned, "s1", "left_semi").dropDuplicates(["token", "s1"])
-        postings = stage(_shared(longer), "postings")
+        postings = staged = stage(_shared(longer), "postings")
 
     roots = classes.select("s1", "min_id").join(known.withColumnRenamed("node", "s1"), "s1", "left")
     roots = roots.withColumn("root", F.coalesce("root", "s1"))

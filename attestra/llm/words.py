@@ -31,7 +31,18 @@ def shingle_rows(df: DataFrame, array: str, out: str, size: int = SHINGLE) -> Da
     return df.withColumn(out, F.xxhash64(*[F.get(F.col(array), F.col("_at") + k) for k in range(size)])).drop("_at")
 
 
-def sized_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
+#: Rows of a table that may be broadcast (a row is a few numbers, so some 64 MB at most).
+BROADCAST_ROWS = 1_000_000
+
+
+def sized_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if its counted ``rows`` stay within ``limit``, else as it is
     (Spark then shuffles both sides and splits skewed partitions)."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def keep_ids(docs: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs`` whose key is (``left_semi``) or is not (``left_anti``) in the one column
+    of ``ids``, a staged table. Texts are not shuffled while the ids may be broadcast."""
+    ids = ids.toDF("_id")
+    return docs.join(sized_broadcast(ids, ids.count()), docs[key].eqNullSafe(ids["_id"]), how)

@@ -11,29 +11,29 @@ from pyspark.sql import functions as F
 
 from attestra.llm import decontam, mixing, ngram_join, pii, quality
 from attestra.llm.store import read, stage
+from attestra.llm.words import keep_ids, sized_broadcast
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior says keep. Rows with one doc_id go or stay together: all stay if one does."""
-    kept = quality.judge(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    return keep_ids(docs, "doc_id", stage(quality.judge(docs).where("kept").select("doc_id").distinct(), "kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents: the one that names the group, and of several
     rows with its doc_id the one with the smallest text."""
     found = ngram_join.groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = stage(found.select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    docs = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    # Only a repeated doc_id has several rows here.
+    kept = stage(found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    once = keep_ids(docs, "doc_id", stage(kept.where("n = 1").select("doc_id"), "once"))
+    again = keep_ids(docs, "doc_id", stage(kept.where("n > 1").select("doc_id"), "again"))
     first = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
-    return docs.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    return once.unionAll(again.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    hit = decontam.contained(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]), "left_anti")
+    hit = stage(decontam.contained(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "hit")
+    return keep_ids(docs, "doc_id", hit, "left_anti")
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,8 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the number of copies."""
     taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.expr("taken div size").alias("copies"))
-    taken = taken.groupBy("_id").agg(F.max("copies").alias("copies"))
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).drop("_id")
+    taken = stage(taken.groupBy("_id").agg(F.max("copies").alias("copies")), "taken")
+    return docs.join(sized_broadcast(taken, taken.count()), docs["doc_id"].eqNullSafe(taken["_id"])).drop("_id")
 
 
 STAGES = [
