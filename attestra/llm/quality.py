@@ -20,8 +20,9 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 KEEP = 0.5  # posterior probability of a good document
 ROUNDS = 60
-#: Beliefs before any document is seen, as counts: a voting rule is right 8 times of 10.
-RIGHT, WRONG = 80.0, 20.0
+#: Beliefs before any document is seen, as shares of votes good and bad. Good documents seldom break
+#: a rule; bad ones break some and pass others. They weigh as much as the corpus.
+ON_GOOD, ON_BAD = (0.97, 0.03), (0.8, 0.2)
 
 
 def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -93,6 +94,7 @@ def votes() -> dict[str, Column]:
         "length": _vote(n < 50, n >= 100),
         "word_length": _vote((mean < 2.5) | (mean > 14), (mean >= 3) & (mean <= 12)),
         "symbols": _vote(symbols > 0.1, symbols <= 0.02),
+        "noise": _vote(symbols > 0.5, F.lit(False)),
         "lines": _vote(lines > 0.3, lines <= 0.1),
         "repeats": _vote(repeats > 0.5, repeats <= 0.25),
         "sentences": _vote(some & ~F.col("_ends"), some & F.col("_ends")),
@@ -118,10 +120,11 @@ class Model:
 def fit(counts: dict[tuple[int, ...], int]) -> Model:
     """Expectation-maximisation over vote patterns; the prior beliefs keep it defined on any input."""
     rules = len(next(iter(counts), ()))
-    model = Model(0.8, [(0.8, 0.8)] * rules)
+    weight = max(100, sum(counts.values()))
+    model = Model(0.8, [(ON_GOOD[0], ON_BAD[1])] * rules)
     for _ in range(ROUNDS):
         share_good, total = 8.0, 10.0
-        tally = [[RIGHT, WRONG, RIGHT, WRONG] for _ in range(rules)]
+        tally = [[weight * x for x in (*ON_GOOD, ON_BAD[1], ON_BAD[0])] for _ in range(rules)]
         for pattern, n in counts.items():
             p = model.posterior(pattern)
             share_good += n * p

@@ -86,7 +86,7 @@ class Automaton:
             self.states.append(inside)
             self.moves.append({})
             exact = max([0.0, *(self.trie[n].word for n, e in inside if not e)])
-            near = max([0.0, *(self.trie[n].near for n, e in inside if e)])
+            near = 0.0 if exact else max([0.0, *(self.trie[n].near for n, e in inside if e)])
             self.ends.append((exact, near))
         return self.ids[inside]
 
