@@ -44,6 +44,8 @@ MOST_HOT = 500_000
 STARS = 2
 #: Classes that a large group is compared with before its pairs are.
 PIVOTS = 32
+#: Bits of a set's parity sketch, in 64-bit words.
+SKETCH_WORDS = 8
 #: Shingles handled at once on an executor, beyond which a text is handled alone.
 PIECE = 500_000
 #: After this many rounds no shingle moves any more; all their pairs are compared.
@@ -79,8 +81,16 @@ def _in_pieces(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[p
             yield batch.slice(first, len(held)), held
 
 
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """Per bit, whether an odd number of the set's shingles falls on it."""
+    bits = 64 * SKETCH_WORDS
+    odd = np.bincount(shingles & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _summaries(docs: DataFrame, kind: str, seed: int) -> DataFrame:
-    """(id, n, s1, s2, prefix): size, fingerprint and prefix of every text's set; s1 names the class."""
+    """(id, n, s1, s2, prefix, sketch): size, fingerprint, prefix and parity sketch of every text's set;
+    s1 names the class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in _in_pieces(batches, seed):
@@ -92,11 +102,12 @@ def _summaries(docs: DataFrame, kind: str, seed: int) -> DataFrame:
                     pa.array([m[0] for m in marks], pa.int64()),
                     pa.array([m[1] for m in marks], pa.int64()),
                     _lists([s[: prefix_length(len(s))] for s in found]),
+                    _lists([_sketch(s) for s in found]),
                 ],
-                ["id", "n", "s1", "s2", "prefix"],
+                ["id", "n", "s1", "s2", "prefix", "sketch"],
             )
 
-    return docs.mapInArrow(run, f"id {kind}, n int, s1 long, s2 long, prefix array<long>")
+    return docs.mapInArrow(run, f"id {kind}, n int, s1 long, s2 long, prefix array<long>, sketch array<long>")
 
 
 def _fragments(docs: DataFrame, seed: int) -> DataFrame:
@@ -196,6 +207,19 @@ def _close(n1: str, n2: str) -> str:
     return f"100 * least({n1}, {n2}) >= {PERCENT} * greatest({n1}, {n2})"
 
 
+def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that their parity sketches leave possible.
+
+    Sketches differ in at most as many bits as the sets do in shingles, and two linked sets differ
+    in at most (100 - PERCENT) / (100 + PERCENT) of their sizes' sum; so no link is lost.
+    """
+    marks = classes.select("s1", "sketch")
+    for side in "ab":
+        pairs = pairs.join(marks.select(F.col("s1").alias(side), F.col("sketch").alias(f"_{side}")), side)
+    apart = " + ".join(f"bit_count(_a[{k}] ^ _b[{k}])" for k in range(SKETCH_WORDS))
+    return pairs.where(f"{100 + PERCENT} * ({apart}) <= {100 - PERCENT} * (na + nb)").select("a", "b", "na", "nb")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
     """The (a, b) whose sets are linked: partial overlaps are counted per fragment and summed.
 
@@ -203,6 +227,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, seed: int) -
     smallest id a class lives. Other rows with that id, or copies of it, do no harm: a pair's overlap
     in a fragment counts once.
     """
+    whole, pairs = pairs, stage(_sketched(pairs, classes), "possible")
+    unstage(whole)
     nodes = pairs.select(F.col("a").alias("s1")).unionAll(pairs.select(F.col("b").alias("s1"))).distinct()
     ids = stage(classes.join(nodes, "s1", "left_semi").select("min_id").distinct(), "ids")
     parts = stage(_fragments(keep_ids(docs, "id", ids), seed), "fragments")
@@ -296,7 +322,7 @@ def _add(known: DataFrame, links: DataFrame) -> DataFrame:
 
 def _classes(rows: DataFrame) -> DataFrame:
     return rows.where("n > 0").groupBy("s1").agg(
-        F.min("id").alias("min_id"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.min("n").alias("_n1"), F.max("n").alias("_n2"), F.min("s2").alias("_s1"), F.max("s2").alias("_s2")
+        F.min("id").alias("min_id"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("sketch").alias("sketch"), F.min("n").alias("_n1"), F.max("n").alias("_n2"), F.min("s2").alias("_s1"), F.max("s2").alias("_s2")
     )
 
 

@@ -37,11 +37,10 @@ def brute_sets(rows):
 def brute_groups(rows):
     found = brute_sets(rows)
     root = list(range(len(rows)))
+    links = [(i, j) for i, a in enumerate(found) for j, b in enumerate(found) if a and b and 100 * len(a & b) >= 75 * len(a | b)]
     for _ in rows:
-        for i, a in enumerate(found):
-            for j, b in enumerate(found):
-                if a and b and 100 * len(a & b) >= 75 * len(a | b):
-                    root[i] = root[j] = min(root[i], root[j])
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
     ids = {r: min((rows[i][0] for i in range(len(rows)) if root[i] == r and rows[i][0] is not None), default=None) for r in root}
     return sorted(((rows[i][0], len(found[i]), ids[root[i]]) for i in range(len(rows))), key=repr)
 
