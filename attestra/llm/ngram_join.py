@@ -125,10 +125,10 @@ def _fragments(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def _reordered(docs: DataFrame, hot: np.ndarray, seed: int) -> DataFrame:
-    """(token, s1, n, moved, f, late, last): prefixes under the order that puts ``hot`` (sorted) last.
+    """(s1, n, f, head, late, last): prefixes under the order that puts ``hot`` (sorted) last.
 
-    ``moved`` tells whether the token is a moved one, ``f`` is the number of moved shingles in the
-    whole set, ``late`` has those of the prefix and ``last`` is the prefix's last token.
+    ``head`` is the prefix, ``late`` the moved shingles at its end, ``f`` is the number of moved
+    shingles in the whole set and ``last`` is the prefix's last token.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,25 +140,19 @@ def _reordered(docs: DataFrame, hot: np.ndarray, seed: int) -> DataFrame:
                 late.append(s[is_hot][: max(0, most - len(first))])
                 moved.append(int(is_hot.sum()))
                 heads.append(np.concatenate((first[:most], late[-1])))
-            sizes = [len(h) for h in heads]
-            spread = np.repeat(np.arange(len(found)), sizes)
-            flags = np.concatenate([np.arange(len(h)) >= len(h) - len(x) for h, x in zip(heads, late, strict=True)])
-            names = np.array([fingerprint(s, seed)[0] for s in found], np.int64)
-            n = np.array([len(s) for s in found], np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate(heads)),
-                    pa.array(names[spread]),
-                    pa.array(n[spread]),
-                    pa.array(flags),
-                    pa.array(np.array(moved, np.int32)[spread]),
-                    _lists(late).take(pa.array(spread)),
-                    pa.array(np.array([h[-1] if len(h) else 0 for h in heads], np.int64)[spread]),
+                    pa.array([fingerprint(s, seed)[0] for s in found], pa.int64()),
+                    pa.array([len(s) for s in found], pa.int32()),
+                    pa.array(moved, pa.int32()),
+                    _lists(heads),
+                    _lists(late),
+                    pa.array([int(h[-1]) if len(h) else 0 for h in heads], pa.int64()),
                 ],
-                ["token", "s1", "n", "moved", "f", "late", "last"],
+                ["s1", "n", "f", "head", "late", "last"],
             )
 
-    return docs.mapInArrow(run, "token long, s1 long, n int, moved boolean, f int, late array<long>, last long")
+    return docs.mapInArrow(run, "s1 long, n int, f int, head array<long>, late array<long>, last long")
 
 
 def _frequent(docs: DataFrame, seed: int) -> DataFrame:
@@ -173,33 +167,42 @@ def _frequent(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """The postings whose token occurs more than once.
+    """The distinct (token, s1) whose token occurs with more than one s1.
 
-    One shuffle by token; runs of equal tokens are found on sorted batches, holding one row.
+    One shuffle by token, of these two columns alone; runs of equal tokens are found on sorted batches, holding one row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, repeated = None, False  # the last row so far, and whether its token came before it
+        held = np.empty((2, 0), np.int64)  # the last row so far, and whether its token came before it
+        repeated = False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch] if held is None else [held, batch])
-            token = table.column("token").to_numpy()
-            same = token[1:] == token[:-1]
-            keep = np.zeros(len(token), bool)
+            rows = np.concatenate((held, [batch.column(0).to_numpy(), batch.column(1).to_numpy()]), axis=1)
+            fresh = np.ones(rows.shape[1], bool)
+            fresh[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+            rows = rows[:, fresh]
+            same = rows[0, 1:] == rows[0, :-1]
+            keep = np.zeros(rows.shape[1], bool)
             keep[1:] |= same
             keep[:-1] |= same
             keep[0] |= repeated
-            repeated = bool(keep[-1]) and (len(token) == 1 or bool(same[-1]))
-            last = table.slice(len(token) - 1)
-            yield from table.slice(0, len(token) - 1).filter(pa.array(keep[:-1])).to_batches()
-            held = last.combine_chunks().to_batches()[0]
-        if held is not None and repeated:
-            yield held
+            repeated, held = bool(keep[-1]), rows[:, -1:]
+            out = rows[:, :-1][:, keep[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["token", "s1"])
+        if repeated:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["token", "s1"])
 
     spark = postings.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return postings.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(run, postings.schema)
+    postings = postings.select("token", "s1").repartition(parts, "token")
+    return postings.sortWithinPartitions("token", "s1").mapInArrow(run, "token long, s1 long")
+
+
+def _described(postings: DataFrame, heads: DataFrame) -> DataFrame:
+    """Postings with the size and prefix end of their class; a token is moved if it is in ``late``."""
+    about = heads.select("s1", "n", "f", "late", "last").dropDuplicates(["s1"])
+    return postings.join(about, "s1").withColumn("moved", F.array_contains("late", F.col("token")))
 
 
 def _close(n1: str, n2: str) -> str:
@@ -350,9 +353,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     pairs = stage(_star_pairs(classes), "stars")
     known = components(verified(pairs, docs, classes, seed))
 
-    staged = stage(_shared(classes.select(F.explode("prefix").alias("token"), "s1", "n")), "postings")
-    postings = staged.withColumns({"moved": F.lit(False), "f": F.lit(0), "late": F.array().cast("array<bigint>")})
-    postings = postings.join(classes.select("s1", F.element_at("prefix", -1).alias("last")), "s1")
+    first = classes.select("s1", "n", F.lit(0).alias("f"), F.array().cast("array<bigint>").alias("late"), F.element_at("prefix", -1).alias("last"))
+    staged = stage(_shared(classes.select(F.explode("prefix").alias("token"), "s1")), "postings")
+    postings = staged.join(first, "s1").withColumn("moved", F.lit(False))
     moved = np.empty(0, np.int64)
     for turn in range(HOT_ROUNDS + 1):
         placed, tokens = _placed(postings, known)
@@ -380,8 +383,11 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         again = keep_ids(docs, "id", ids)
         top = _frequent(again, seed).orderBy(F.desc("c"), "token").limit(MOST_HOT).collect()
         moved = np.union1d(moved, np.array([r["token"] for r in top], np.int64))
-        longer = _reordered(again, moved, seed).join(concerned, "s1", "left_semi").dropDuplicates(["token", "s1"])
-        postings = staged = stage(_shared(longer), "postings")
+        heads = stage(_reordered(again, moved, seed).join(concerned, "s1", "left_semi"), "heads")
+        found = stage(_shared(heads.select(F.explode("head").alias("token"), "s1")), "shared")
+        postings = staged = stage(_described(found, heads), "postings")
+        for done in (heads, found):
+            unstage(done)
 
     roots = classes.select("s1", "min_id").join(known.withColumnRenamed("node", "s1"), "s1", "left")
     roots = roots.withColumn("root", F.coalesce("root", "s1"))
