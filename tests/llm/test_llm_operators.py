@@ -246,3 +246,19 @@ def test_pipeline_stages(spark):
     masked = C.redaction(spark, kept, "")
     assert "[email]" in masked.where("doc_id = 52").first()["text"] and masked.columns == docs.columns
     assert C.source_mix(spark, once, "").where("copies BETWEEN 1 AND 3").count() > 0
+
+
+def test_shared_postings_across_batches(spark):
+    """Repeated rows, and tokens of one class or of several, wherever batches end."""
+    rows = [(1, 5), (1, 5), (2, 5), (2, 6), (2, 6), (2, 7), (3, 5), (4, 8), (4, 8), (4, 9), (-1, 3), (-1, 4)]
+    want = sorted({r for r in rows if r[0] in (-1, 2, 4)})
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        for size in (1, 2, 3, 100):
+            spark.conf.set(setting, size)
+            got = ngram_join._shared(spark.createDataFrame(rows, "token long, s1 long"))
+            assert sorted(map(tuple, got.collect())) == want
+        assert ngram_join._shared(spark.createDataFrame([], "token long, s1 long")).collect() == []
+    finally:
+        spark.conf.set(setting, before)
