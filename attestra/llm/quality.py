@@ -2,12 +2,13 @@
 
 Each rule votes good (+1), bad (-1) or abstains (0) from counts over the whole text. The corpus is
 aggregated to vote patterns (at most 3 to the number of rules), expectation-maximisation estimates
-the rules' accuracies and the share of good documents from these counts, and the posterior
+how good and bad documents vote and the share of good documents from these counts, and the posterior
 probability of each pattern decides.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +21,22 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 KEEP = 0.5  # posterior probability of a good document
 ROUNDS = 60
-#: Beliefs before any document is seen, as shares of votes good and bad. Good documents seldom break
-#: a rule; bad ones break some and pass others. They weigh as much as the corpus.
-ON_GOOD, ON_BAD = (0.97, 0.03), (0.8, 0.2)
+WEIGHT = 20.0  # documents that each belief counts as, whatever the size of the corpus
+SHARE = (9.0, 1.0)  # the same for good and bad documents
+#: Beliefs before any document is seen: shares of votes bad, none and good, first among good and then
+#: among bad documents. A symbol vote is strong evidence; the others bad documents mostly pass.
+BELIEFS = {
+    "length": ((0.06, 0.08, 0.86), (0.20, 0.10, 0.70)),
+    "word_length": ((0.005, 0.02, 0.975), (0.10, 0.05, 0.85)),
+    "symbols": ((0.002, 0.02, 0.978), (0.60, 0.10, 0.30)),
+    "noise": ((0.0005, 0.9995, 0.0), (0.30, 0.70, 0.0)),
+    "lines": ((0.02, 0.05, 0.93), (0.10, 0.05, 0.85)),
+    "repeats": ((0.01, 0.04, 0.95), (0.30, 0.05, 0.65)),
+    "sentences": ((0.04, 0.01, 0.95), (0.15, 0.05, 0.80)),
+}
+#: Good documents break these rules no more often than this. Where one rule alone marks the junk, votes
+#: cannot tell a class of junk from good documents that break the rule, and the bound decides.
+SELDOM = {"word_length": 0.005, "symbols": 0.002, "noise": 0.002}
 
 
 def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -103,40 +117,41 @@ def votes() -> dict[str, Column]:
 
 @dataclass
 class Model:
-    """Share of good documents and, per rule, how often a vote is right for good and for bad ones."""
+    """Share of good documents and, per rule, the shares of votes bad, none and good among good and bad ones."""
 
     share: float
-    right: list[tuple[float, float]]
+    votes: list[tuple[list[float], list[float]]]
 
     def posterior(self, pattern: tuple[int, ...]) -> float:
-        good, bad = self.share, 1 - self.share
-        for vote, (g, b) in zip(pattern, self.right, strict=True):
-            if vote:
-                good *= g if vote > 0 else 1 - g
-                bad *= 1 - b if vote > 0 else b
-        return good / (good + bad)
+        odds = math.log1p(-self.share) - math.log(self.share)
+        for vote, (good, bad) in zip(pattern, self.votes, strict=True):
+            odds += math.log(bad[vote + 1]) - math.log(good[vote + 1])
+        return 1 / (1 + math.exp(max(-700.0, min(700.0, odds))))
+
+
+def _shares(tally: list[float], seldom: float = 1.0) -> list[float]:
+    """The tally as shares above zero, the first of them ``seldom`` at most."""
+    total = sum(tally) + 3e-6
+    bad, *others = ((x + 1e-6) / total for x in tally)
+    held = min(bad, seldom)
+    return [held, *(x * (1 - held) / (1 - bad) for x in others)]
 
 
 def fit(counts: dict[tuple[int, ...], int]) -> Model:
-    """Expectation-maximisation over vote patterns; the prior beliefs keep it defined on any input."""
-    rules = len(next(iter(counts), ()))
-    weight = max(100, sum(counts.values()))
-    model = Model(0.8, [(ON_GOOD[0], ON_BAD[1])] * rules)
+    """Expectation-maximisation over vote patterns; the beliefs keep it defined on any input."""
+    seldom = [SELDOM.get(rule, 1.0) for rule in BELIEFS]
+    model = Model(SHARE[0] / sum(SHARE), [(_shares(list(g), s), _shares(list(b))) for (g, b), s in zip(BELIEFS.values(), seldom, strict=True)])
     for _ in range(ROUNDS):
-        share_good, total = 8.0, 10.0
-        tally = [[weight * x for x in (*ON_GOOD, ON_BAD[1], ON_BAD[0])] for _ in range(rules)]
+        share_good, total = SHARE[0], sum(SHARE)
+        tally = [([WEIGHT * x for x in g], [WEIGHT * x for x in b]) for g, b in BELIEFS.values()]
         for pattern, n in counts.items():
             p = model.posterior(pattern)
             share_good += n * p
             total += n
             for k, vote in enumerate(pattern):
-                if vote > 0:
-                    tally[k][0] += n * p
-                    tally[k][3] += n * (1 - p)
-                elif vote < 0:
-                    tally[k][1] += n * p
-                    tally[k][2] += n * (1 - p)
-        model = Model(share_good / total, [(g / (g + gw), b / (b + bw)) for g, gw, b, bw in tally])
+                tally[k][0][vote + 1] += n * p
+                tally[k][1][vote + 1] += n * (1 - p)
+        model = Model(share_good / total, [(_shares(g, s), _shares(b)) for (g, b), s in zip(tally, seldom, strict=True)])
     return model
 
 

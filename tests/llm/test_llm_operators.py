@@ -106,6 +106,23 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert quality.judge(frame(spark, clean).limit(0)).count() == 0
 
 
+def test_quality_against_labels(spark):
+    """About 3 % of these documents are junk that passes the base rules."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    got = quality.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("NOT base_failed").join(labels, "doc_id").collect()
+    junk, good = ([r["kept"] for r in got if r["quality"] == q] for q in (0, 1))
+    assert len(junk) > 20 and sum(junk) <= 0.05 * len(junk) and sum(good) >= 0.99 * len(good)
+
+
+@pytest.mark.parametrize("n", [100, 10_000])
+def test_quality_rejects_a_little_junk(n):
+    clean, symbols, noise = (1, 1, 1, 0, 1, 1, 1), (1, 1, -1, 0, 1, 1, 1), (1, 1, -1, -1, 1, 1, 1)
+    for junk in ({symbols: 0.03}, {noise: 0.03}, {symbols: 0.01, noise: 0.02}):
+        model = quality.fit({clean: n} | {k: int(n * x) for k, x in junk.items()})
+        assert model.posterior(clean) > 0.9 and all(model.posterior(k) < 0.5 for k in junk)
+    assert quality.fit({clean: n}).posterior(clean) > 0.9 and quality.fit({}).posterior(clean) > 0.9
+
+
 def brute_pii(text):
     found = []
     text = text or ""
