@@ -1,6 +1,6 @@
 """Toxicity: a lexicon learned from labels, found through Levenshtein automata on its trie.
 
-Terms that occur in toxic training documents, in different contexts, and hardly in others form a trie. The
+Terms that toxic training documents hold more often than chance explains, and others hardly, form a trie. The
 product of the trie with the Levenshtein automaton of each of its terms runs over every word of a text, so
 misspelled terms are caught in one pass; the product is made deterministic state by state as words
 reach it. Each hit is weighed by its context window: quoted or reported words count less, address in the
@@ -19,14 +19,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import read
+from .store import read, stage
 
 #: Bound of the labelled training rows; those with the smallest hashes of their ids are taken.
 TRAIN_ROWS = 20_000
 TERMS = 3_000  # at most, by weight
-SUPPORT = 8  # toxic training documents that hold a term
+FALSE_TERMS = 0.2  # share of learned terms that may be there by chance
 PURITY = 0.95  # share of a term's documents that are toxic
-CONTEXTS = 6  # different words that follow a term; copies of one text have but one
 FUZZY_LENGTH = 6  # terms this long may be misspelled by one edit
 WINDOW = 8  # words on either side of a hit
 THRESHOLD = 0.7
@@ -173,26 +172,57 @@ def fold(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _log_tail(t: int, n: int, p: float) -> float:
+    """Log of the probability of ``t`` successes or more in ``n`` trials."""
+    k = np.arange(t, n + 1)
+    terms = np.array([math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in k]) + k * math.log(p) + (n - k) * math.log1p(-p)
+    return float(terms.max() + np.log(np.exp(terms - terms.max()).sum()))
+
+
+def _by_chance(sorted_logs: list[float], tested: int) -> int:
+    """Benjamini and Hochberg: how many of the smallest probabilities (as logs) pass among ``tested``."""
+    return max((i + 1 for i, x in enumerate(sorted_logs) if x <= math.log(FALSE_TERMS * (i + 1) / tested)), default=0)
+
+
 def _learn_terms(train: DataFrame) -> list[tuple[str, float]]:
-    """Terms by their smoothed log odds; ``train`` has text and toxic."""
+    """Terms that toxic documents hold more often than chance explains; ``train`` has text and toxic.
+
+    What support a term needs follows from the share of toxic documents and the number of terms tested, so
+    rare terms of small languages count. Copies of one text are no support: a term counts as often as it
+    has different neighbours at most.
+    """
     total = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     bad, good = total.get(1, 0), total.get(0, 0)
     if not bad or not good:
         return []
+    share = bad / (bad + good)
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(JAVA_WORD), F.lit(0))
     held = train.select("toxic", words.alias("w"))
     counts = held.select("toxic", F.explode(F.array_distinct("w")).alias("term")).groupBy("term")
-    counts = counts.agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    odds = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (good + 1))
-    pure = counts.where((F.col("t") >= SUPPORT) & (F.col("t") >= PURITY * F.col("n"))).select("term", odds.alias("weight"))
-    pure = pure.orderBy(F.desc("weight"), "term").limit(TERMS)
-    rows = {r["term"]: float(r["weight"]) for r in pure.collect()}
-    if not rows:
+    counts = stage(counts.agg(F.sum("toxic").cast("int").alias("t"), F.count("*").cast("int").alias("n")).where("n > 1"), "counts")
+    tested = counts.count()
+    pure = counts.where(F.col("t") >= PURITY * F.col("n"))
+    cells = {(r["t"], r["n"]): r["count"] for r in pure.groupBy("t", "n").count().collect()}
+    logs = {cell: _log_tail(*cell, share) for cell in cells}
+    ordered = sorted(x for cell, x in logs.items() for _ in range(cells[cell]))
+    passed = _by_chance(ordered, tested)
+    if not passed:
         return []
-    pairs = F.arrays_zip(F.col("w").alias("term"), F.slice("w", 2, F.size("w")).alias("next"))
-    following = held.where("toxic = 1").select(F.explode(pairs).alias("p")).where(F.col("p.term").isin(*rows))
-    varied = following.groupBy("p.term").agg(F.count_distinct("p.next").alias("c")).where(F.col("c") >= CONTEXTS).collect()
-    return sorted((r["term"], rows[r["term"]]) for r in varied)
+    # Neighbours can only lessen a term's support, so no other term can pass later.
+    odds = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (good + 1))
+    fit = train.sparkSession.createDataFrame([cell for cell, x in logs.items() if x <= ordered[passed - 1]], "t int, n int")
+    rows = pure.join(F.broadcast(fit), ["t", "n"]).select("term", "t", "n", odds.alias("weight"))
+    rows = {r["term"]: r for r in rows.orderBy(F.desc("weight"), "term").limit(TERMS).collect()}
+    near = F.transform("w", lambda w, i: F.struct(w.alias("term"), F.get("w", i - 1).alias("a"), F.get("w", i + 1).alias("b")))
+    near = held.where("toxic = 1").select(F.explode(near).alias("p")).where(F.col("p.term").isin(*rows)).select("p.*").distinct()
+    varied = {r["term"]: r["count"] for r in near.groupBy("term").count().collect()}
+    found = []
+    for term, r in rows.items():
+        t = min(r["t"], varied[term])
+        found.append((_log_tail(t, t + r["n"] - r["t"], share), term))
+    found.sort()
+    found = found[: _by_chance([x for x, _ in found], tested)]
+    return sorted((term, float(rows[term]["weight"])) for _, term in found)
 
 
 def _features(rows: DataFrame, terms: list[tuple[str, float]], kept: str) -> DataFrame:

@@ -250,6 +250,31 @@ def test_toxicity_learns(spark):
     assert toxicity.score(frame(spark, [(1, None)]), model).first()["predicted"] == 0
 
 
+def held_out_recall(spark, sf):
+    """Per language, how many of the held-out documents labelled toxic are found, of how many; and clean ones marked."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.where("toxic IN (0, 1)").select("doc_id", "toxic").join(docs.select("doc_id", "lang"), "doc_id")
+    got = toxicity.score(docs, toxicity.train(docs, labels)).where("held_out").join(known, "doc_id").collect()
+    found = {k: [r["predicted"] for r in got if r["toxic"] and r["lang"] == k] for k in ("de", "en", "es", "fr")}
+    return {k: (sum(v), len(v)) for k, v in found.items()}, sum(r["predicted"] for r in got if not r["toxic"]), sum(not r["toxic"] for r in got)
+
+
+def test_toxicity_recall_per_language(spark):
+    """Small languages are found too, not English alone."""
+    found, wrong, clean = held_out_recall(spark, "sf0.1")
+    assert all(a >= 0.8 * n for a, n in found.values()) and wrong <= 0.015 * clean
+    found, wrong, clean = held_out_recall(spark, "sf0.01")
+    assert found["en"][0] >= 0.85 * found["en"][1] and wrong <= 0.015 * clean
+
+
+def test_toxicity_rare_terms(spark):
+    """A term of five toxic documents is learned, one of five copies of a text is not."""
+    rows = [(i, "once copiedword more" if 5 <= i < 10 else f"calm{i} day{i % 9}" + f" a{i} rareslur b{i}" * (i < 5)) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i < 10)) for i in range(120)], "doc_id long, toxic int")
+    both = frame(spark, rows).join(labels, "doc_id").select("text", "toxic")
+    assert [t for t, _ in toxicity._learn_terms(both)] == ["rareslur"]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as C
 
