@@ -26,7 +26,8 @@ TRAIN_ROWS = 20_000
 TERMS = 3_000  # at most, by weight
 FALSE_TERMS = 0.2  # share of learned terms that may be there by chance
 PURITY = 0.95  # share of a term's documents that are toxic
-FUZZY_LENGTH = 6  # terms this long may be misspelled by one edit
+FUZZY_LENGTH = 4  # terms this long may be misspelled by one edit
+TRUST = 0.8  # share of documents with misspellings of a term that are toxic, at least
 WINDOW = 8  # words on either side of a hit
 THRESHOLD = 0.7
 #: Words of address and of reporting speech, and quotation marks (fixed values).
@@ -49,11 +50,13 @@ class _Node:
 class Automaton:
     """Deterministic product of a lexicon trie and Levenshtein automata of one edit.
 
-    ``terms`` are (text, weight). A state is a set of (trie node, edits); a state's transitions
-    are computed when a word first takes them.
+    ``terms`` are (text, weight); ``plain`` are words that are no misspelling, ``trust`` is the share of its
+    weight that a term's misspellings get (1 unless given). A state is a set of (trie
+    node, edits); a state's transitions are computed when a word first takes them.
     """
 
-    def __init__(self, terms: Iterable[tuple[str, float]]):
+    def __init__(self, terms: Iterable[tuple[str, float]], plain: Iterable[str] = (), trust: dict[str, float] | None = None):
+        self.plain = frozenset(plain)
         self.trie = [_Node()]
         for text, weight in terms:
             path = [0]
@@ -64,10 +67,11 @@ class Automaton:
                     self.trie.append(_Node())
                 path.append(children[char])
             self.trie[path[-1]].word = max(self.trie[path[-1]].word, weight)
-            if len(text) >= FUZZY_LENGTH:
+            near = weight * (trust or {}).get(text, 1.0)
+            if len(text) >= FUZZY_LENGTH and near:
                 for at in path:
                     self.trie[at].fuzzy = True
-                self.trie[path[-1]].near = max(self.trie[path[-1]].near, weight)
+                self.trie[path[-1]].near = max(self.trie[path[-1]].near, near)
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -109,14 +113,14 @@ class Automaton:
             at = self._move(at, char) if to is None else to
             if at == dead:
                 return (0.0, 0.0)
-        return self.ends[at]
+        return (self.ends[at][0], 0.0) if word in self.plain else self.ends[at]
 
 
-FEATURES = ("exact", "near", "quoted", "share")
+FEATURES = ("hits", "quoted", "share")
 
 
 def text_features(text: str | None, automaton: Automaton) -> list[float]:
-    """Sums of hit weights: exact, misspelled, quoted (all on a log scale) and per 100 words."""
+    """Sums of hit weights: all, quoted (on a log scale) and per 100 words."""
     if not text:
         return [0.0] * len(FEATURES)
     low = text.lower()
@@ -124,7 +128,7 @@ def text_features(text: str | None, automaton: Automaton) -> list[float]:
     hits = {w: f for w in set(found) if (f := automaton.find(w)) != (0.0, 0.0)}
     if not hits:
         return [0.0] * len(FEATURES)
-    exact = near = quoted = 0.0
+    total = quoted = 0.0
     matches = list(WORD.finditer(low))
     for i, m in enumerate(matches):
         if m[0] not in hits:
@@ -138,15 +142,16 @@ def text_features(text: str | None, automaton: Automaton) -> list[float]:
             quoted += max(a, b)
             continue
         boost = 1.25 if any(w in ADDRESS for w in window) else 1.0
-        exact += boost * a
-        near += boost * b * (not a)
-    return [math.log1p(exact), math.log1p(near), math.log1p(quoted), min(5.0, 100 * (exact + near) / len(matches))]
+        total += boost * max(a, b)
+    return [math.log1p(total), math.log1p(quoted), min(5.0, 100 * total / len(matches))]
 
 
 @dataclass
 class Model:
     terms: list[tuple[str, float]]
     weights: list[float]
+    plain: list[str] = field(default_factory=list)
+    trust: dict[str, float] = field(default_factory=dict)
 
     def score(self, row: list[float]) -> float:
         z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], row, strict=True))
@@ -225,11 +230,42 @@ def _learn_terms(train: DataFrame) -> list[tuple[str, float]]:
     return sorted((term, float(rows[term]["weight"])) for _, term in found)
 
 
-def _features(rows: DataFrame, terms: list[tuple[str, float]], kept: str) -> DataFrame:
+def _near_words(train: DataFrame, terms: list[tuple[str, float]]) -> tuple[dict[str, set[int]], dict[str, float]]:
+    """Words of clean documents that are one edit from a term (such as an 'oron'), with the parts they occur
+    in, and the trust in each term's misspellings: the share of toxic ones among the documents that
+    hold such a form, plain words of the other part aside, with one toxic document presumed and none
+    below ``TRUST``. ``train`` has text, toxic and part."""
+    ranked = sorted(terms, key=lambda x: (x[1], x[0]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = Automaton([(text, k + 1.0) for k, (text, _) in enumerate(ranked)])
+        for batch in batches:
+            batch["rank"] = [int(automaton.find(w)[1]) for w in batch["word"]]
+            yield batch[batch["rank"] > 0]
+
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(JAVA_WORD), F.lit(0))
+    held = train.select("toxic", "part", F.explode(F.array_distinct(words)).alias("word"))
+    held = held.where(F.length("word").between(FUZZY_LENGTH - 1, max(len(t) for t, _ in terms) + 1))
+    near = held.mapInPandas(run, "toxic int, part int, word string, rank int").groupBy("rank", "word", "toxic", "part").count()
+    rows = near.collect()  # words near at most TERMS terms
+    plain: dict[str, set[int]] = {}
+    for r in rows:
+        if not r["toxic"]:
+            plain.setdefault(r["word"], set()).add(r["part"])
+    tally = {text: [0, 1] for text, _ in terms}
+    for r in rows:
+        if 1 - r["part"] not in plain.get(r["word"], ()):
+            tally[ranked[r["rank"] - 1][0]][r["toxic"]] += r["count"]
+    trust = {text: bad / (bad + good) for text, (good, bad) in tally.items()}
+    return plain, {text: x if x >= TRUST else 0.0 for text, x in trust.items()}
+
+
+def _features(rows: DataFrame, terms: list[tuple[str, float]], kept: str, plain: Iterable[str], trust: dict[str, float]) -> DataFrame:
     """``rows`` (first column text) as its other columns, given as DDL in ``kept``, and features."""
+    plain = list(plain)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = Automaton(terms)
+        automaton = Automaton(terms, plain, trust)
         for batch in batches:
             out = batch.iloc[:, 1:].copy()
             rows = np.array([text_features(t, automaton) for t in batch.iloc[:, 0]]).reshape(len(batch), len(FEATURES))
@@ -249,12 +285,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull() & ~fold(F.col(key)))
     known = known.groupBy(key).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(key), key).limit(bound)
     known = F.broadcast(known.select(F.col(key).alias("_key"), "toxic"))  # bounded rows of two numbers
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(known, "_key").select("text", "toxic")
+    part = F.pmod(F.xxhash64("_key"), F.lit(2)).cast("int").alias("part")
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(known, "_key").select("text", F.col("toxic").cast("int"), part)
     terms = _learn_terms(rows)
     if not terms:
-        return Model([], [-3.0, 1.0, 1.0, 0.0, 0.0])
-    table = _features(rows, terms, "toxic int").toPandas()  # at most ``bound`` labelled documents
-    return Model(terms, logistic(table[list(FEATURES)].to_numpy(), table["toxic"].to_numpy()))
+        return Model([], [-3.0, 1.0, 0.0, 0.0])
+    plain, trust = _near_words(rows, terms)
+    # Weights are learned from exact hits; misspelled ones are rare in labels, and trust scales them.
+    exact = _features(rows.select("text", "toxic"), terms, "toxic int", (), dict.fromkeys(trust, 0.0))
+    table = exact.toPandas()  # at most ``bound`` labelled documents
+    return Model(terms, logistic(table[list(FEATURES)].to_numpy(), table["toxic"].to_numpy()), sorted(plain), trust)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -264,7 +304,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     kept; an empty table gives an empty result; other columns are never looked at.
     """
     frame = docs.select(F.col(text).alias("_text"), F.col(key).alias("_key"))
-    scored = _features(frame, model.terms, f"_key {dict(frame.dtypes)['_key']}")
+    scored = _features(frame, model.terms, f"_key {dict(frame.dtypes)['_key']}", model.plain, model.trust)
     z = F.lit(model.weights[0])
     for w, name in zip(model.weights[1:], FEATURES, strict=True):
         z = z + w * F.col(name)

@@ -267,6 +267,32 @@ def test_toxicity_recall_per_language(spark):
     assert found["en"][0] >= 0.85 * found["en"][1] and wrong <= 0.015 * clean
 
 
+def test_misspelled_short_terms():
+    auto = toxicity.Automaton([("idiot", 2.0), ("moron", 3.0), ("clown", 1.0), ("trash", 1.5), ("bad", 1.0)], ["oron"])
+    assert [auto.find(w) for w in ("idiiot", "morron", "cl0wn", "tr*sh", "trsh")] == [(0.0, 2.0), (0.0, 3.0), (0.0, 1.0), (0.0, 1.5), (0.0, 1.5)]
+    assert auto.find("oron") == auto.find("baad") == (0.0, 0.0) and auto.find("moron") == (3.0, 0.0)
+
+
+def test_misspelled_short_terms_are_scored(spark):
+    """Words of clean documents that are near a term are no misspelling of it."""
+    slur = lambda i: ["moron", "scum", "morron", "sc*m"][i // 4 % 4]
+    rows = [(i, " ".join(f"calm{i * j % 17} w{j}" for j in range(30)) + (f" you {slur(i)} z{i % 11}" if i % 4 == 0 else f" oron y{i % 11}")) for i in range(800)]
+    docs = frame(spark, rows)
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)], "doc_id long, toxic int"))
+    assert "oron" in model.plain
+    new = frame(spark, [(1, "calm1 w1 you scuum"), (2, "calm1 w1 oron w2"), (3, "calm1 you mor0n")])
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score(new, model).collect()} == {1: 1, 2: 0, 3: 1}
+
+
+def test_misspelled_terms_of_the_real_labels(spark):
+    """The labelled texts hold no misspelled English term; one in a text must count all the same."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    text = "they went home and the day was long " * 10
+    new = frame(spark, [(i, f"{text} {w} {text}") for i, w in enumerate(("idiiot", "morron", "cl0wn", "tr*sh", "day"))])
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score(new, model).collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0}
+
+
 def test_toxicity_rare_terms(spark):
     """A term of five toxic documents is learned, one of five copies of a text is not."""
     rows = [(i, "once copiedword more" if 5 <= i < 10 else f"calm{i} day{i % 9}" + f" a{i} rareslur b{i}" * (i < 5)) for i in range(120)]
