@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -33,7 +34,9 @@ THRESHOLD = 0.7
 #: Words of address and of reporting speech, and quotation marks (fixed values).
 ADDRESS = frozenset("you your yours you're du dich dir euch ihr tu te toi vous votre usted tú ti".split())
 REPORTED = frozenset("said says wrote called quoted quote word term reported insult slur sagte schrieb zitiert dit écrit cité dijo escribió".split())
-QUOTES = frozenset("\"“”«»„‟‘’'")
+QUOTES = re.compile("[\"“”«»„‟‘’‚‹›']")
+#: What is left of a hit's weight inside quotation marks and near a reporting word.
+QUOTED, REPORTING = 0.5, 0.8
 
 WORD = re.compile(r"\w(?:[\w*@$'-]*\w)?")
 JAVA_WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_*@$'-]*[\p{L}\p{N}_])?"
@@ -116,11 +119,35 @@ class Automaton:
         return (self.ends[at][0], 0.0) if word in self.plain else self.ends[at]
 
 
+def quoted_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) between an opening mark and the next closing one of its kind, single or double. A mark
+    opens before a word and closes behind one; an apostrophe inside a word does neither."""
+    out: list[tuple[int, int]] = []
+    opened: dict[bool, int] = {}
+    for m in QUOTES.finditer(text):
+        left, right = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+        word, follows = left.isalnum(), right.isalnum()
+        if word and follows:
+            continue
+        single = m[0] in "‘’‚‹›'"
+        if bool(left.strip()) == bool(right.strip()):  # marks of one direction between blanks or between signs
+            opens = follows or (not word and m[0] in "«“„‘‚‹")
+            closes = word or (not follows and m[0] in "»”’›")
+        else:
+            opens = not left.strip()
+            closes = not opens
+        if opens:
+            opened[single] = m.end()
+        elif closes and single in opened:
+            out.append((opened.pop(single), m.start()))
+    return out
+
+
 FEATURES = ("hits", "quoted", "share")
 
 
 def text_features(text: str | None, automaton: Automaton) -> list[float]:
-    """Sums of hit weights: all, quoted (on a log scale) and per 100 words."""
+    """Sums of hit weights: what counts, what quotation takes off (on a log scale) and what counts per 100 words."""
     if not text:
         return [0.0] * len(FEATURES)
     low = text.lower()
@@ -130,19 +157,20 @@ def text_features(text: str | None, automaton: Automaton) -> list[float]:
         return [0.0] * len(FEATURES)
     total = quoted = 0.0
     matches = list(WORD.finditer(low))
+    spans = quoted_spans(low)
+    ends = [end for _, end in spans]
     for i, m in enumerate(matches):
         if m[0] not in hits:
             continue
-        a, b = hits[m[0]]
-        window = [x[0] for x in matches[max(0, i - WINDOW) : i + WINDOW + 1]]
-        before = low[matches[max(0, i - WINDOW)].start() : m.start()]
-        after = low[m.end() : matches[min(len(matches) - 1, i + WINDOW)].end()]
-        marked = sum(c in QUOTES for c in before) % 2 == 1 and any(c in QUOTES for c in after)
-        if marked or any(w in REPORTED for w in window):
-            quoted += max(a, b)
-            continue
-        boost = 1.25 if any(w in ADDRESS for w in window) else 1.0
-        total += boost * max(a, b)
+        weight = max(hits[m[0]])
+        first, last = max(0, i - WINDOW), min(len(matches) - 1, i + WINDOW)
+        window = [x[0] for x in matches[first : last + 1]]
+        weight *= 1.25 if any(w in ADDRESS for w in window) else 1.0
+        k = bisect_left(ends, m.end())
+        marked = k < len(spans) and matches[first].start() <= spans[k][0] <= m.start() and ends[k] <= matches[last].end()
+        less = (QUOTED if marked else 1.0) * (REPORTING if any(w in REPORTED for w in window) else 1.0)
+        total += less * weight
+        quoted += (1 - less) * weight
     return [math.log1p(total), math.log1p(quoted), min(5.0, 100 * total / len(matches))]
 
 

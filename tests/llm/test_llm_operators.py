@@ -293,6 +293,24 @@ def test_misspelled_terms_of_the_real_labels(spark):
     assert {r["doc_id"]: r["predicted"] for r in toxicity.score(new, model).collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0}
 
 
+def test_quotation_marks():
+    inside = lambda t: [t[a:b] for a, b in toxicity.quoted_spans(t)]
+    assert inside("you're an idiot and i don't care") == inside("it’s idiot, the dogs' idiot") == inside('a 5" idiot') == []
+    assert inside('he said "idiot." then \'you fool\' and (“x y”) and « mot » end') == ["idiot.", "you fool", "x y", " mot "]
+    assert inside('"don\'t be an idiot"') == ["don't be an idiot"] and inside("„idiot“ »idiot«") == ["idiot", "idiot"]
+
+
+def test_quotation_reduces_weight():
+    auto, model = toxicity.Automaton([("idiot", 7.0)]), toxicity.Model([("idiot", 7.0)], [-4.7, 1.7, 0.0, 1.8])
+    plain, short, said, both = (
+        model.score(toxicity.text_features(t, auto))
+        for t in ("you are an idiot and i do not care", "you're an idiot and i don't care", "i said you are an idiot", 'they said "idiot" today')
+    )
+    assert min(plain, short, said) >= toxicity.THRESHOLD
+    features = [toxicity.text_features(t, auto)[0] for t in ("an idiot today", 'an "idiot" today', 'they said "idiot" today')]
+    assert features[0] > features[1] > features[2] > 0 and both < plain
+
+
 def test_toxicity_rare_terms(spark):
     """A term of five toxic documents is learned, one of five copies of a text is not."""
     rows = [(i, "once copiedword more" if 5 <= i < 10 else f"calm{i} day{i % 9}" + f" a{i} rareslur b{i}" * (i < 5)) for i in range(120)]
