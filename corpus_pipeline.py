@@ -6,7 +6,7 @@ written as Parquet and read again. All but the last return the columns of docume
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import decontam, mixing, ngram_join, pii, quality
@@ -14,26 +14,34 @@ from attestra.llm.store import read, stage
 from attestra.llm.words import keep_ids, sized_broadcast
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs``, staged, with the number ``_row`` of each row. Ids may be null or shared by different texts,
+    so stages decide by row; the numbers are written, as they may differ when they are computed again."""
+    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior says keep. Rows with one doc_id go or stay together: all stay if one does."""
-    return keep_ids(docs, "doc_id", stage(quality.judge(docs).where("kept").select("doc_id").distinct(), "kept"))
+    """Rows whose posterior says keep."""
+    rows = numbered(docs)
+    return keep_ids(rows, "_row", stage(quality.judge(rows, "_row").where("kept").select("_row"), "kept")).drop("_row")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the one that names the group, and of several
-    rows with its doc_id the one with the smallest text."""
-    found = ngram_join.groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = stage(found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    once = keep_ids(docs, "doc_id", stage(kept.where("n = 1").select("doc_id"), "once"))
-    again = keep_ids(docs, "doc_id", stage(kept.where("n > 1").select("doc_id"), "again"))
-    first = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
-    return once.unionAll(again.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth"))
+    """One row of each group of linked rows: the one with the smallest doc_id (null last), and of several
+    of those the one with the smallest hash of its text, source and language."""
+    rows = numbered(docs)
+    found = ngram_join.groups(rows, "_row").select(F.col("_row").alias("_r"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text", "source", "lang"), "_row")
+    ranked = stage(rows.select("_row", order.alias("_order")), "ranked")
+    first = ranked.join(found, ranked["_row"] == found["_r"]).groupBy("component_id").agg(F.min("_order").alias("_first"))
+    return keep_ids(rows, "_row", stage(first.select("_first._row"), "kept")).drop("_row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    hit = stage(decontam.contained(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "hit")
-    return keep_ids(docs, "doc_id", hit, "left_anti")
+    """Rows that hold no benchmark item."""
+    rows = numbered(docs)
+    hit = stage(decontam.contained(rows, read(spark, sf_dir, "benchmark"), key="_row").select("_row").distinct(), "hit")
+    return keep_ids(rows, "_row", hit, "left_anti").drop("_row")
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

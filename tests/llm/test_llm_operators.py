@@ -334,6 +334,24 @@ def test_pipeline_stages(spark):
     assert C.source_mix(spark, once, "").where("copies BETWEEN 1 AND 3").count() > 0
 
 
+def test_pipeline_stages_decide_per_row(spark, tmp_path):
+    """Null and shared ids: each row is judged by its own text."""
+    import corpus_pipeline as C
+
+    clean = [" ".join(f"c{i}n{k} text" for k in range(60)) + "." for i in range(8)]
+    junk, item = " ".join(f"j{k}%%% |" for k in range(80)), "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(None, clean[0]), (None, clean[1]), (None, clean[0]), (7, clean[2]), (7, clean[3]), (7, clean[0]), (9, clean[4]), (9, clean[4]), (8, clean[5])]
+    docs = frame(spark, [*rows, (7, junk), (None, junk), (8, f"{clean[6]} {item} {clean[7]}"), (None, f"{clean[7]} {item}")]).select("doc_id", "text", "lang", "source", "n_chars")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    good = C.quality_rules(spark, docs, "")
+    assert texts(good) == texts(docs.where(~docs["text"].contains("%%%")))
+    whole = C.decontamination(spark, good, str(tmp_path))
+    assert texts(whole) == sorted(rows, key=repr) and whole.columns == docs.columns
+    once = C.near_duplicates(spark, whole, "")
+    assert texts(once) == sorted([(None, clean[1]), (7, clean[0]), (7, clean[2]), (7, clean[3]), (8, clean[5]), (9, clean[4])], key=repr)
+
+
 def test_shared_postings_across_batches(spark):
     """Repeated rows, and tokens of one class or of several, wherever batches end."""
     rows = [(1, 5), (1, 5), (2, 5), (2, 6), (2, 6), (2, 7), (3, 5), (4, 8), (4, 8), (4, 9), (-1, 3), (-1, 4)]
