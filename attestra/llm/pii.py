@@ -36,6 +36,17 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an IBAN by country (SWIFT's registry).
+_IBAN_LENGTH = {
+    c: n
+    for n, some in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in some.split()
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
@@ -50,6 +61,22 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Valid IBANs. A proposed span may run over following words, so it is cut to its country's length
+    where that is known and ends at a blank; the search goes on behind a valid one, or behind the
+    first letter of a span that fails."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at, n, size = m.start() + 1, 0, _IBAN_LENGTH.get(m[0][:2], len(m[0].replace(" ", "")))
+        for end in range(m.start() + 1, m.end() + 1):
+            n += text[end - 1] != " "
+            if n == size:
+                if (end == m.end() or text[end] == " ") and mod97(text[m.start() : end]):
+                    yield m.start(), end
+                    at = end
+                break
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost non-overlapping addresses. Each holds one ``@``, so the scan goes from one to the
     next, back over the local part to the end of the last address at most."""
@@ -74,8 +101,8 @@ def _score(kind: str, text: str, start: int, end: int) -> float:
 
 def spans(text: str | None) -> list[tuple[int, str, int]]:
     """(start, kind, end) of all spans, by start and then kind as listed; code points, end
-    exclusive. A null or empty text has none. Matches that fail their check are dropped without
-    a retry at a later offset."""
+    exclusive. A null or empty text has none. Matches of base kinds and SSNs that fail their
+    check are dropped without a retry at a later offset."""
     if not text:
         return []
     found = [(s, "email", e) for s, e in emails(text)] if "@" in text else []
@@ -91,10 +118,8 @@ def spans(text: str | None) -> list[tuple[int, str, int]]:
         for m in _PHONE.finditer(text):
             if 10 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
                 found.append((m.start(), "phone", m.end()))
-    for kind, pattern, valid in (("iban", _IBAN, mod97), ("ssn", _SSN, None)):
-        for m in pattern.finditer(text):
-            if (valid is None or valid(m[0])) and _score(kind, text, *m.span()) >= THRESHOLD:
-                found.append((m.start(), kind, m.end()))
+    for kind, some in (("iban", ibans(text)), ("ssn", (m.span() for m in _SSN.finditer(text)))):
+        found += [(start, kind, end) for start, end in some if _score(kind, text, start, end) >= THRESHOLD]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[1])))
 
 

@@ -154,6 +154,15 @@ def test_pii_against_brute_force(spark):
     assert pii.redact("to a@b.c!") == "to [email]!" and pii.redact(None) is None
 
 
+def test_ibans_before_other_words():
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    found = lambda t: [t[a:b] for a, kind, b in pii.spans(t) if kind == "iban"]
+    assert found(f"IBAN {de} BIC COBADEFFXXX") == [de] and found("DE89370400440532013000 5 EUR") == ["DE89370400440532013000"]
+    assert found(f"{de} {gb} {no} OK") == [de, gb, no] and found(f"AB12 REF {de}") == [de]
+    assert found("DE89 3704 0044 0532 0130 01 BIC") == found("DE89370400440532013000EUR") == []
+    assert pii.redact(f"pay {de} BIC X") == "pay [iban] BIC X"
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (1 + i % 13)) for i in range(300)] + [(None, None), (301, "")]
     got = mixing.mix(frame(spark, rows)).collect()
