@@ -6,25 +6,27 @@ into fragments, counting each pair's partial overlap per fragment and adding up.
 
 Large groups and frequent passages never unfold into all pairs:
 
-1. Star round. Every class is verified against the smallest class that shares one of its first
+1. Order. The first pass over the texts also counts all shingles in a sketch of fixed size. Those
+   that the sketch shows to be frequent stand at the end of the global order, so prefixes hold rare ones.
+2. Star round. Every class is verified against the smallest class that shares one of its first
    shingles. Groups of near copies collapse into few components, linear in their size.
-2. Exact rounds. A shingle only yields pairs of classes from different components, and within
-   a shingle the largest component is only compared with the others, not with itself.
-   Where a shingle of some prefix is held by more than ``HOT`` components, the shingles of all texts
-   that hold it are counted, frequent ones move to the end of the global order, for all texts
-   alike, and these texts take further shingles into their prefix. Groups still held together by
-   a shingle are contracted around pivots. The order does not affect the result, only the
-   number of candidates.
+3. Exact rounds. A shingle only yields pairs of classes from different components, and within
+   a shingle the largest component is only compared with the others, not with itself. Groups
+   held together by a shingle are contracted around pivots. Where a shingle that the sketch took for
+   rare is held by many components, the shingles of all texts that hold it are counted, frequent ones
+   move to the end of the order too, for all texts alike, and these texts take further shingles into
+   their prefix. The order does not affect the result, only the number of candidates.
 
 A pair of classes skipped because both lie in one component cannot change a component.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +38,15 @@ from .words import keep_ids
 
 PERCENT = 75
 FRAGMENTS = 8
-#: Components that may share a shingle before it moves to the end of the order.
+#: Components that may share a shingle before they are contracted around pivots; texts beyond the sketch's
+#: noise that may share it before it moves to the end of the order.
 HOT = 64
+#: Cells of each of the two rows of the count sketch, and parts it travels in. The noise of a count is the root of
+#: the number of shingles per cell.
+CELLS = 1 << 20
+BLOCKS = 16
+#: Names of sets that a task remembers, to pass over copies.
+SEEN = 1_000_000
 #: Moved shingles held in memory at once; with more, only those of the most components move.
 MOST_HOT = 500_000
 #: First shingles of a class that are used in the star round.
@@ -49,7 +58,7 @@ SKETCH_WORDS = 8
 #: Shingles handled at once on an executor, beyond which a text is handled alone.
 PIECE = 500_000
 #: After this many rounds no shingle moves any more; all their pairs are compared.
-HOT_ROUNDS = 3
+HOT_ROUNDS = 2
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -88,26 +97,92 @@ def _sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _cell(shingles: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cell and sign of each shingle in a row of the count sketch."""
+    return (shingles >> (20 * row)) & (CELLS - 1), 1 - 2 * ((shingles >> (40 + row)) & 1)
+
+
+def _packed(cells: np.ndarray) -> bytes:
+    """32-bit counts, most of them small, as bytes."""
+    return zlib.compress(cells.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+
+
+def _blocks(cells: np.ndarray) -> tuple[list[int], list[bytes]]:
+    parts = cells.reshape(BLOCKS, -1)
+    return list(range(BLOCKS)), [_packed(p) for p in parts]
+
+
 def _summaries(docs: DataFrame, kind: str, seed: int) -> DataFrame:
-    """(id, n, s1, s2, prefix, sketch): size, fingerprint, prefix and parity sketch of every text's set;
-    s1 names the class."""
+    """(id, n, s1, s2, first, sketch) of every text's set: size, fingerprint, first shingles and parity sketch;
+    s1 names the class. Besides, one row per block of the task's count sketch (block, cells)."""
+    schema = pa.schema([("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("first", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("block", pa.int32()), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, counted, kind = np.zeros((2, CELLS), np.int64), set(), None
         for batch, found in _in_pieces(batches, seed):
+            kind = batch.schema.field(0).type
             marks = [fingerprint(s, seed) for s in found]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(s) for s in found], pa.int32()),
-                    pa.array([m[0] for m in marks], pa.int64()),
-                    pa.array([m[1] for m in marks], pa.int64()),
-                    _lists([s[: prefix_length(len(s))] for s in found]),
-                    _lists([_sketch(s) for s in found]),
-                ],
-                ["id", "n", "s1", "s2", "prefix", "sketch"],
-            )
+            fresh = []
+            for mark, s in zip(marks, found, strict=True):
+                if mark[0] not in counted:
+                    counted.add(mark[0])
+                    fresh.append(s)
+            if len(counted) > SEEN:
+                counted.clear()
+            shingles = np.concatenate([np.empty(0, np.int64), *fresh])
+            for row in range(2):
+                at, sign = _cell(shingles, row)
+                cells[row] += np.bincount(at, sign, CELLS).astype(np.int64)
+            none = [None] * len(found)
+            columns = [[len(s) for s in found], [m[0] for m in marks], [m[1] for m in marks], _lists([s[:STARS] for s in found]), _lists([_sketch(s) for s in found]), none, none]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(columns, schema, strict=True)]], ["id", *schema.names])
+        if kind is not None:
+            blocks, parts = _blocks(cells)
+            yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, kind), *[pa.nulls(BLOCKS, f.type) for f in schema][:5], pa.array(blocks, pa.int32()), pa.array(parts, pa.binary())], ["id", *schema.names])
+
+    return docs.mapInArrow(run, f"id {kind}, n int, s1 long, s2 long, first array<long>, sketch array<long>, block int, cells binary")
+
+
+@dataclass
+class Order:
+    """The global order of shingles: those that the sketch counts over ``limit`` times, or that are among ``moved``
+    (sorted), stand at the end; all else goes by hash value."""
+
+    cells: np.ndarray
+    limit: float
+    moved: np.ndarray
+
+    def late(self, shingles: np.ndarray) -> np.ndarray:
+        out = np.ones(len(shingles), bool)
+        for row in range(2):
+            at, sign = _cell(shingles, row)
+            out &= self.cells[row][at] * sign > self.limit
+        if len(self.moved):
+            out |= self.moved[np.minimum(np.searchsorted(self.moved, shingles), len(self.moved) - 1)] == shingles
+        return out
+
+
+def _order(whole: DataFrame) -> Order:
+    """The count sketches of all tasks, added up on the executors; ``2 * CELLS`` numbers come to the driver."""
 
-    return docs.mapInArrow(run, f"id {kind}, n int, s1 long, s2 long, prefix array<long>, sketch array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = _unpacked(data)
+                sums[block] = sums[block] + part if block in sums else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())], ["block", "cells"])
+
+    parts = whole.where("block IS NOT NULL").select("block", "cells").mapInArrow(run, "block int, cells binary")
+    cells = np.zeros((BLOCKS, 2 * CELLS // BLOCKS), np.int32)
+    for r in parts.repartition(BLOCKS, "block").mapInArrow(run, "block int, cells binary").collect():
+        cells[r["block"]] = _unpacked(bytes(r["cells"]))
+    cells = cells.reshape(2, CELLS)
+    return Order(cells, HOT + 4 * float(np.median(np.abs(cells))) / 0.6745, np.empty(0, np.int64))
 
 
 def _fragments(docs: DataFrame, seed: int) -> DataFrame:
@@ -124,35 +199,36 @@ def _fragments(docs: DataFrame, seed: int) -> DataFrame:
     return docs.mapInArrow(run, "s1 long, frag int, part array<long>")
 
 
-def _reordered(docs: DataFrame, hot: np.ndarray, seed: int) -> DataFrame:
-    """(s1, n, f, head, late, last): prefixes under the order that puts ``hot`` (sorted) last.
+def _reordered(docs: DataFrame, order: Order, seed: int) -> DataFrame:
+    """(s1, n, f, head, late): prefixes under the global order, once per task for each set.
 
-    ``head`` is the prefix, ``late`` the moved shingles at its end, ``f`` is the number of moved
-    shingles in the whole set and ``last`` is the prefix's last token.
+    ``head`` is the prefix, ``late`` the moved shingles at its end and ``f`` the number of moved
+    shingles in the whole set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for _, found in _in_pieces(batches, seed):
-            heads, moved, late = [], [], []
+            names, sizes, heads, moved, late = [], [], [], [], []
             for s in found:
-                is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-                most, first = prefix_length(len(s)), s[~is_hot]
-                late.append(s[is_hot][: max(0, most - len(first))])
-                moved.append(int(is_hot.sum()))
+                name = fingerprint(s, seed)[0]
+                if not len(s) or name in seen:
+                    continue
+                seen.add(name)
+                at_end = order.late(s)
+                most, first = prefix_length(len(s)), s[~at_end]
+                late.append(s[at_end][: max(0, most - len(first))])
+                names.append(name)
+                sizes.append(len(s))
+                moved.append(int(at_end.sum()))
                 heads.append(np.concatenate((first[:most], late[-1])))
+            if len(seen) > SEEN:
+                seen.clear()
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([fingerprint(s, seed)[0] for s in found], pa.int64()),
-                    pa.array([len(s) for s in found], pa.int32()),
-                    pa.array(moved, pa.int32()),
-                    _lists(heads),
-                    _lists(late),
-                    pa.array([int(h[-1]) if len(h) else 0 for h in heads], pa.int64()),
-                ],
-                ["s1", "n", "f", "head", "late", "last"],
+                [pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(moved, pa.int32()), _lists(heads), _lists(late)], ["s1", "n", "f", "head", "late"]
             )
 
-    return docs.mapInArrow(run, "s1 long, n int, f int, head array<long>, late array<long>, last long")
+    return docs.mapInArrow(run, "s1 long, n int, f int, head array<long>, late array<long>")
 
 
 def _frequent(docs: DataFrame, seed: int) -> DataFrame:
@@ -199,12 +275,6 @@ def _shared(postings: DataFrame) -> DataFrame:
     return postings.sortWithinPartitions("token", "s1").mapInArrow(run, "token long, s1 long")
 
 
-def _described(postings: DataFrame, heads: DataFrame) -> DataFrame:
-    """Postings with the size and prefix end of their class; a token is moved if it is in ``late``."""
-    about = heads.select("s1", "n", "f", "late", "last").dropDuplicates(["s1"])
-    return postings.join(about, "s1").withColumn("moved", F.array_contains("late", F.col("token")))
-
-
 def _close(n1: str, n2: str) -> str:
     """Sizes of two sets that can be linked."""
     return f"100 * least({n1}, {n2}) >= {PERCENT} * greatest({n1}, {n2})"
@@ -247,21 +317,43 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, seed: int) -
 
 def _star_pairs(classes: DataFrame) -> DataFrame:
     """(a, b, na, nb): each class with the smallest class of the groups that its first shingles form."""
-    tokens = classes.select("s1", "n", F.explode(F.slice("prefix", 1, STARS)).alias("token"))
+    tokens = classes.select("s1", "n", F.explode("first").alias("token"))
     tops = tokens.groupBy("token").agg(F.min(F.struct("s1", "n")).alias("top"), F.count("*").alias("c")).where("c > 1")
     tops = stage(tops.select("token", F.col("top.s1").alias("b"), F.col("top.n").alias("nb")), "tops")
     pairs = tokens.join(tops, "token").where("s1 != b").where(_close("n", "nb"))
     return pairs.select(F.col("s1").alias("a"), "b", F.col("n").alias("na"), "nb").distinct()
 
 
-def _placed(postings: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings with their component so far, and per token of several components their number and
-    the largest."""
-    placed = postings.join(known.withColumnRenamed("node", "s1"), "s1", "left")
-    placed = stage(placed.withColumn("comp", F.coalesce("root", "s1")).drop("root"), "placed")
-    per = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    tokens = per.groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1")
-    return placed, stage(tokens.select("token", "comps", F.col("top.comp").alias("major")), "tokens")
+def _placed(postings: DataFrame, about: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings with what is known of their class and its component so far; per token of several components
+    their number, the largest, and whether the token has moved."""
+    about = about.join(known.withColumnRenamed("node", "s1"), "s1", "left").withColumn("comp", F.coalesce("root", "s1")).drop("root")
+    moved = F.coalesce(F.array_contains("late", F.col("token")), F.lit(False))
+    placed = stage(postings.join(about, "s1").withColumn("moved", moved), "placed")
+    per = placed.groupBy("token", "comp").agg(F.count("*").alias("c"), F.max("moved").alias("moved"))
+    tokens = per.groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top"), F.max("moved").alias("moved")).where("comps > 1")
+    return placed, stage(tokens.select("token", "comps", F.col("top.comp").alias("major"), "moved"), "tokens")
+
+
+def _met(rest: DataFrame, moved: bool) -> DataFrame:
+    """(a, b, na, nb, unseen, once): a row per shingle in which two classes meet, among moved ones or the others."""
+    extra = ("f", "late") if moved else ()
+    sides = [[F.col(c).alias(c + side) for c in ("s1", "n", "comp", "k", *extra)] for side in "xy"]
+    minor = rest.where("comp != major").select("token", *sides[0])
+    every = rest.select("token", "major", *sides[1])
+    # Two rows outside the largest component meet once, in the order of their classes.
+    met = F.expr("compx != compy AND (compy = major OR s1x < s1y)") & F.expr(_close("nx", "ny"))
+    if moved:
+        bound = F.expr(f"{100 + PERCENT} * least(fx, fy) >= {PERCENT} * (nx + ny)")
+        met = F.when(met & bound, F.get(F.array_intersect("latex", "latey"), F.lit(0)) == F.col("token"))
+    return minor.join(every, "token").where(met).select(
+        F.expr("if(s1x < s1y, s1x, s1y)").alias("a"),
+        F.expr("if(s1x < s1y, s1y, s1x)").alias("b"),
+        F.expr("if(s1x < s1y, nx, ny)").alias("na"),
+        F.expr("if(s1x < s1y, ny, nx)").alias("nb"),
+        F.least("kx", "ky").alias("unseen"),
+        F.lit(0 if moved else 1).alias("once"),
+    )
 
 
 def _cross_pairs(placed: DataFrame, tokens: DataFrame, left_out: DataFrame) -> DataFrame:
@@ -273,35 +365,16 @@ def _cross_pairs(placed: DataFrame, tokens: DataFrame, left_out: DataFrame) -> D
 
     The shingles up to the end of the prefix that ends first are all known, so a pair can share no
     more than those it meets in, those not looked at (moved ones, and ``left_out`` ones) and what
-    follows that prefix.
+    follows that prefix, at most what follows the larger set's.
     """
     rest = placed.join(tokens.select("token", "major"), "token")
-    known = ("s1", "n", "comp", "f", "late", "last")
-    sides = [[F.col(c).alias(c + side) for c in known] for side in "xy"]
-    minor = rest.where("comp != major").select("token", "moved", *sides[0])
-    every = rest.select("token", "major", *sides[1])
-    # Two rows outside the largest component meet once, in the order of their classes.
-    once = F.expr("compx != compy AND (compy = major OR s1x < s1y)") & F.expr(_close("nx", "ny"))
-    bound = F.expr(f"{100 + PERCENT} * least(fx, fy) >= {PERCENT} * (nx + ny)")
-    first = F.get(F.array_intersect("latex", "latey"), F.lit(0)) == F.col("token")
-    met = minor.join(every, "token").where(F.when(once & (~F.col("moved") | bound), ~F.col("moved") | first))
-    met = met.select(
-        "moved",
-        F.expr("if(s1x < s1y, s1x, s1y)").alias("a"),
-        F.expr("if(s1x < s1y, s1y, s1x)").alias("b"),
-        F.expr("if(s1x < s1y, nx, ny)").alias("na"),
-        F.expr("if(s1x < s1y, ny, nx)").alias("nb"),
-        F.expr("if((size(latex) > 0, lastx) <= (size(latey) > 0, lasty), nx, ny)").alias("ended"),
-        F.least(F.size("latex"), F.size("latey")).alias("unseen"),
-    )
-    pairs = met.groupBy("a", "b", "na", "nb").agg(
-        F.max("ended").alias("ended"), F.max("unseen").alias("unseen"), F.sum(F.when(F.col("moved"), 0).otherwise(1)).alias("c")
-    )
+    met = [_met(rest.where("NOT moved"), False), _met(rest.where("moved"), True)]
+    pairs = met[0].unionByName(met[1]).groupBy("a", "b", "na", "nb").agg(F.max("unseen").alias("unseen"), F.sum("once").alias("c"))
     skipped = placed.where(~F.col("moved")).join(left_out.select("token"), "token").groupBy("s1").agg(F.count("*").alias("h"))
     skipped = stage(skipped, "skipped")
     for side in "ab":
         pairs = pairs.join(skipped.select(F.col("s1").alias(side), F.col("h").alias(f"h{side}")), side, "left")
-    most = F.expr(f"c + unseen + least(coalesce(ha, 0), coalesce(hb, 0)) + ({PERCENT} * ended + 99) div 100 - 1")
+    most = F.expr(f"c + unseen + least(coalesce(ha, 0), coalesce(hb, 0)) + ({PERCENT} * greatest(na, nb) + 99) div 100 - 1")
     return pairs.where((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
 
 
@@ -325,10 +398,22 @@ def _add(known: DataFrame, links: DataFrame) -> DataFrame:
 
 def _classes(rows: DataFrame) -> DataFrame:
     return rows.where("n > 0").groupBy("s1").agg(
-        F.min("id").alias("min_id"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("sketch").alias("sketch"), F.min("n").alias("_n1"), F.max("n").alias("_n2"), F.min("s2").alias("_s1"), F.max("s2").alias("_s2")
+        F.min("id").alias("min_id"), F.any_value("n").alias("n"), F.any_value("first").alias("first"), F.any_value("sketch").alias("sketch"), F.min("n").alias("_n1"), F.max("n").alias("_n2"), F.min("s2").alias("_s1"), F.max("s2").alias("_s2")
     )
 
 
+def _postings(docs: DataFrame, order: Order, seed: int, concerned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(token, s1) for the shared shingles of the prefixes, and (s1, n, f, late, k) for each class; both staged.
+    ``late`` is null where no moved shingle is in the prefix, ``k`` is how many are."""
+    heads = _reordered(docs, order, seed)
+    heads = stage(heads if concerned is None else heads.join(concerned, "s1", "left_semi"), "heads")
+    late = F.when(F.size("late") > 0, F.col("late")).alias("late")
+    about = stage(heads.select("s1", "n", "f", late, F.size("late").alias("k")).dropDuplicates(["s1"]), "about")
+    shared = stage(_shared(heads.select(F.explode("head").alias("token"), "s1")), "shared")
+    unstage(heads)
+    return shared, about
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, n_shingles, component_id (the smallest key reachable by links).
 
@@ -336,57 +421,57 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     different texts are told apart by their texts; a null key never is the smallest unless all are. Copies
     are one class. An empty table gives an empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = _frame(docs, key, text)
     kind = dict(docs.dtypes)["id"]
     for seed in range(1, 9):
         whole = stage(_summaries(docs, kind, seed), "sets")
-        classes = stage(_classes(whole), "classes")
-        rows = stage(whole.select("id", "n", "s1"), "rows")
-        unstage(whole)
+        each = whole.where("block IS NULL")
+        classes = stage(_classes(each), "classes")
         # Two sets with one 64-bit name would be merged; another seed tells them apart.
         if classes.where("_n1 != _n2 OR _s1 != _s2").isEmpty():
             break
+        for done in (whole, classes):
+            unstage(done)
     else:
         raise RuntimeError("fingerprints collide under every seed")
+    order = _order(whole)
+    rows = stage(each.select("id", "n", "s1"), "rows")
+    unstage(whole)
 
     pairs = stage(_star_pairs(classes), "stars")
     known = components(verified(pairs, docs, classes, seed))
-
-    first = classes.select("s1", "n", F.lit(0).alias("f"), F.array().cast("array<bigint>").alias("late"), F.element_at("prefix", -1).alias("last"))
-    staged = stage(_shared(classes.select(F.explode("prefix").alias("token"), "s1")), "postings")
-    postings = staged.join(first, "s1").withColumn("moved", F.lit(False))
-    moved = np.empty(0, np.int64)
+    postings, about = _postings(docs, order, seed)
     for turn in range(HOT_ROUNDS + 1):
-        placed, tokens = _placed(postings, known)
+        placed, tokens = _placed(postings, about, known)
         hot = tokens.where(F.col("comps") > HOT)
-        if turn and not hot.isEmpty():
-            # What is still hot after passages have moved are large groups: contract them first.
+        if not hot.isEmpty():
             pairs = stage(_pivot_pairs(placed, hot), "pivots")
-            known = _add(known, verified(pairs, docs, classes, seed))
-            unstage(placed)
-            placed, tokens = _placed(postings, known)
-            hot = tokens.where(F.col("comps") > HOT)
-        old = spark.createDataFrame(pd.DataFrame({"token": moved}), "token long")
-        last = turn == HOT_ROUNDS or hot.join(F.broadcast(old), "token", "left_anti").isEmpty()  # at most MOST_HOT rows
-        # Where only moved shingles are left, or after the last turn, hot ones are compared too.
-        some, others = (tokens, tokens.limit(0)) if last else (tokens.where(F.col("comps") <= HOT), hot)
+            links = verified(pairs, docs, classes, seed)
+            if not links.isEmpty():
+                known = _add(known, links)
+                for done in (placed, tokens):
+                    unstage(done)
+                placed, tokens = _placed(postings, about, known)
+        many = (F.col("comps") > 4 * order.limit) & ~F.col("moved")
+        hot = tokens.where(many)
+        last = turn == HOT_ROUNDS or hot.isEmpty()
+        # Where only moved shingles are left, or after the last turn, all are compared.
+        some, others = (tokens, tokens.limit(0)) if last else (tokens.where(~many), hot)
         pairs = stage(_cross_pairs(placed, some, others), "pairs")
         known = _add(known, verified(pairs, docs, classes, seed))
+        if not last:
+            # Pairs that share nothing but hot shingles so far lie among the texts that hold one.
+            concerned = stage(placed.join(hot, "token", "left_semi").select("s1").distinct(), "concerned")
+        for done in (placed, tokens, postings, about):
+            unstage(done)
         if last:
             break
-        # Pairs that share nothing but hot shingles so far lie among the texts that hold one.
-        concerned = stage(placed.join(hot, "token", "left_semi").select("s1").distinct(), "concerned")
         ids = stage(classes.join(concerned, "s1", "left_semi").select("min_id").distinct(), "ids")
-        for done in (staged, placed, tokens):
-            unstage(done)
         again = keep_ids(docs, "id", ids)
         top = _frequent(again, seed).orderBy(F.desc("c"), "token").limit(MOST_HOT).collect()
-        moved = np.union1d(moved, np.array([r["token"] for r in top], np.int64))
-        heads = stage(_reordered(again, moved, seed).join(concerned, "s1", "left_semi"), "heads")
-        found = stage(_shared(heads.select(F.explode("head").alias("token"), "s1")), "shared")
-        postings = staged = stage(_described(found, heads), "postings")
-        for done in (heads, found):
+        order = Order(order.cells, order.limit, np.union1d(order.moved, np.array([r["token"] for r in top], np.int64)))
+        postings, about = _postings(again, order, seed, concerned)
+        for done in (ids, concerned):
             unstage(done)
 
     roots = classes.select("s1", "min_id").join(known.withColumnRenamed("node", "s1"), "s1", "left")

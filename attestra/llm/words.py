@@ -41,8 +41,30 @@ def sized_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
-def keep_ids(docs: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+#: Bits of the filter that stands for more ids than may be broadcast; 64 of them make a broadcast row.
+FILTER_BITS = 1 << 26
+
+
+def keep_ids(docs: DataFrame, key: str, ids: DataFrame, how: str = "left_semi", limit: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of ``docs`` whose key is (``left_semi``) or is not (``left_anti``) in the one column
-    of ``ids``, a staged table. Texts are not shuffled while the ids may be broadcast."""
+    of ``ids``, a staged table.
+
+    Up to ``limit`` ids are broadcast. Of more, a bit per hash value is: only rows whose bit is set can
+    have their key among the ids, and these alone are shuffled to find out.
+    """
     ids = ids.toDF("_id")
-    return docs.join(sized_broadcast(ids, ids.count()), docs[key].eqNullSafe(ids["_id"]), how)
+    n = ids.count()
+    same = docs[key].eqNullSafe(ids["_id"])
+    if n <= limit:
+        return docs.join(F.broadcast(ids), same, how)
+
+    def bit(x: Column) -> Column:
+        return F.pmod(F.xxhash64(x), F.lit(FILTER_BITS))
+
+    words = ids.select(bit(F.col("_id")).alias("_bit")).groupBy(F.floor(F.col("_bit") / 64).alias("_word"))
+    words = words.agg(F.expr("bit_or(shiftleft(1L, cast(_bit % 64 as int)))").alias("_bits"))  # FILTER_BITS / 64 rows at most
+    marked = docs.withColumn("_at", bit(docs[key])).withColumn("_word", F.floor(F.col("_at") / 64)).join(F.broadcast(words), "_word", "left")
+    marked = marked.withColumn("_may", F.expr("coalesce(shiftrightunsigned(_bits, cast(_at % 64 as int)) & 1L, 0L) = 1"))
+    some = marked.where("_may").select(*docs.columns)
+    found = some.join(ids, some[key].eqNullSafe(ids["_id"]), how)
+    return found if how == "left_semi" else marked.where("NOT _may").select(*docs.columns).unionByName(found)
