@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .words import BASE, PROFILES
 
 MAY_BE_EMPTY = frozenset({"COLLOQUIAL_ACTIONS", "ENTITY_STOP_PREFIX", "ENTITY_NOISE_PREFIX"})
-#: Units that would turn common words ("next step", "half a day") into counts.
+# Units that would turn common words ("next step", "half a day") into counts.
 BANNED_CN_UNITS = frozenset({"步", "半"})
+# Fixed value.
 CN_DIGITS = "[一二两三四五六七八九十]+"
 
 
@@ -30,6 +31,17 @@ def alternation(words) -> str:
     return "|".join("\\Q" + w + "\\E" for w in sorted(set(words), key=lambda w: (-len(w), w)))
 
 
+#: What Chinese words begin with, and no Latin ones.
+WIDE = r"[\u2E80-\uFFFF]"
+
+
+def finder(words) -> str:
+    """A pattern for whether a word is there; only places that can begin one are looked at closely."""
+    first = {w[0] for w in words}
+    start = WIDE if all("\u2e80" <= c for c in first) else "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(first)) + "]"
+    return f"(?={start})(?:{alternation(words)})"
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """``strict`` selects the intended forms of two patterns instead of the compatible ones: verb and
@@ -45,7 +57,7 @@ class Lexicon:
     def any(self, text: Column, *keys: str) -> Column:
         """Whether ``text`` contains a word of one of the lists."""
         words = [w for k in keys for w in self.words[k]]
-        return text.rlike(alternation(words)) if words else F.lit(False)
+        return text.rlike(finder(words)) if words else F.lit(False)
 
     def hits(self, text: Column, key: str) -> Column:
         """The contained words, in list order."""
@@ -68,7 +80,7 @@ class Lexicon:
         if name == "inline_plan":
             return r"^.{0,4}?(?:计划|安排|打算)[:：]" if self.strict else r"^.(?:0, 4)?(?:计划|安排|打算)[:：]"
         if name == "risk_negated":
-            return (
+            return (  # fixed value
                 r"(?U)[零无未没]\s*(?:发生|出现|发现|存在)?\s*(?:重大|安全|责任|重复)?\s*"
                 r"(?:事故|投诉|差错|故障|返工|流失|隐患|延误|问题|延期|复现)"
                 r"|杜绝[^，。；\s]{0,4}|防患于未燃"

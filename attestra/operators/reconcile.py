@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicon import Lexicon, alternation
 
+# Thresholds, least lengths, words that join and that close commitments.
 FLOOR, LEAD, TRACE = 0.16, 0.16, 0.12
 SAME = 0.6
 PROMISE_MIN, ITEM_MIN = 8, 6
@@ -21,9 +22,13 @@ DONE = "已完成|已交付|已上线|已发布|已经"
 PLAIN_NUMBER = r"(?U)\d+(?:\.\d+)?"
 
 
+#: Characters of an item whose grams are held at once.
+PIECE = 20_000
+
+
 def _grams(x: Column, n: int) -> Column:
-    last = F.length(x) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """All overlapping pieces of ``n`` characters; one step of the pattern takes one character."""
+    return F.regexp_extract_all(x, F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
 def features(item: Column, lex: Lexicon, num_match: str = "unit") -> Column:
@@ -50,6 +55,56 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((a["norm"] == "") | (b["norm"] == ""), 0.0).otherwise(score)
 
 
+def _parts(items: DataFrame, on: list[str], key: str, lex: Lexicon, num_match: str, side: str) -> DataFrame:
+    """(on..., key, z, p(kind, gram), c): what an item shares with others, a row per different gram or number.
+
+    Long items are taken apart in pieces, so no array holds all grams of a text.
+    """
+    norm, number = F.col("_n"), lex.pattern("num") if num_match == "unit" else PLAIN_NUMBER
+    numbers = F.regexp_extract_all("item", F.lit(number), F.lit(0))
+    rows = items.select(*on, F.col(key).alias(key + side), T.normalize(F.col("item")).alias("_n"), numbers.alias("_x")).where("_n != ''")
+    size = F.greatest(F.length(norm) - 1, F.lit(1)).alias("z" + side)
+    rows = rows.select(*on, key + side, "_n", "_x", size, F.explode(F.sequence(F.lit(1), F.length(norm), F.lit(PIECE))).alias("_at"))
+
+    def piece(n: int) -> Column:
+        return _grams(F.substring(norm, F.col("_at"), F.lit(PIECE + n - 1)), n)
+
+    found = {2: F.when(F.length(norm) == 1, F.array(norm)).otherwise(piece(2)), 4: piece(4), 5: piece(5), 0: F.when(F.col("_at") == 1, F.col("_x")).otherwise(F.array().cast("array<string>"))}
+    every = F.concat(*[_tagged(grams, kind) for kind, grams in found.items()])
+    rows = rows.select(*on, key + side, "z" + side, F.explode(every).alias("p"))
+    return rows.groupBy(*on, key + side, "z" + side, "p").agg(F.count("*").alias("c" + side))
+
+
+def _tagged(grams: Column, kind: int) -> Column:
+    return F.transform(grams, lambda g: F.struct(F.lit(kind).alias("kind"), g.alias("gram")))
+
+
+def scored(left: DataFrame, right: DataFrame, lex: Lexicon, num_match: str = "unit", on: tuple[str, ...] = ("doc_id",), key: str = "ord", earlier: bool = False) -> DataFrame:
+    """(on..., key_a, key_b, score) of the pairs of items that share a gram or a number; all others score 0.
+
+    ``left`` and ``right`` have ``on``, ``key`` and item. The pairs come from an equi-join on grams, and counts of
+    one gram are added up before they meet. ``earlier`` keeps pairs whose right key is the smaller one.
+    """
+    a, b = _parts(left, list(on), key, lex, num_match, "_a"), _parts(right, list(on), key, lex, num_match, "_b")
+    both = a.join(b, [*on, "p"])
+    if earlier:
+        both = both.where(F.col(f"{key}_b") < F.col(f"{key}_a"))
+    return _score(both, list(on), key)
+
+
+def _score(both: DataFrame, on: list[str], key: str) -> DataFrame:
+    kind = F.col("p.kind")
+    sums = both.groupBy(*on, f"{key}_a", f"{key}_b", "z_a", "z_b").agg(
+        F.sum(F.when(kind == 2, F.least("c_a", "c_b")).otherwise(0)).alias("common"),
+        F.max(kind).alias("run"),
+        F.max((kind == 0).cast("int")).alias("number"),
+    )
+    run = F.when(F.col("run") == 5, 0.25).when(F.col("run") == 4, 0.10).otherwise(0.0)
+    number = F.when(F.col("number") == 1, 0.10).otherwise(0.0)
+    cover = F.greatest(F.col("common") / F.col("z_a"), 2 * F.col("common") / (F.col("z_a") + F.col("z_b")))
+    return sums.select(*on, f"{key}_a", f"{key}_b", F.least(F.lit(1.0), cover + run + number).alias("score"))
+
+
 def extract(docs: DataFrame, lex: Lexicon, plan: bool) -> DataFrame:
     """(doc_id, ord, item): commitments (``plan``) or evidence of docs(doc_id, text), in order."""
     rows = T.lines(docs).where("line != ''")
@@ -76,10 +131,8 @@ def extract(docs: DataFrame, lex: Lexicon, plan: bool) -> DataFrame:
 
 def dedupe(items: DataFrame, lex: Lexicon, num_match: str = "unit", threshold: float = SAME) -> DataFrame:
     """Items (doc_id, ord, item) without those too similar to an earlier kept one of their document."""
-    known = items.withColumn("f", features(F.col("item"), lex, num_match))
-    later, earlier = known.alias("x"), known.select("doc_id", F.col("ord").alias("ord0"), F.col("f").alias("f0")).alias("y")
-    close = later.join(earlier, "doc_id").where("ord0 < ord").where(similarity(F.col("f"), F.col("f0")) >= threshold)
-    close = close.groupBy("doc_id", "ord").agg(F.collect_list("ord0").alias("conf"))
+    close = scored(items, items, lex, num_match, earlier=True).where(F.col("score") >= threshold)
+    close = close.groupBy("doc_id", F.col("ord_a").alias("ord")).agg(F.collect_list("ord_b").alias("conf"))
     every = items.join(close, ["doc_id", "ord"], "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "item", "conf"))).alias("all"))
     none = F.array().cast("array<bigint>")
     kept = F.aggregate("all", none, lambda acc, x: F.when(F.arrays_overlap(acc, F.coalesce(x["conf"], none)), acc).otherwise(F.concat(acc, F.array(x["ord"]))))
@@ -118,17 +171,36 @@ def conflict(a: Column, b: Column, lex: Lexicon) -> Column:
 
 
 def top_two(promises: DataFrame, pool: DataFrame, lex: Lexicon, num_match: str = "unit") -> DataFrame:
-    """(doc_id, ord, best, matched, second): the two best scores of each promise in its pair's pool."""
-    left = promises.select("doc_id", "ord", features(F.col("item"), lex, num_match).alias("f"))
-    right = pool.select("doc_id", F.col("item").alias("candidate"), features(F.col("item"), lex, num_match).alias("g"))
-    scored = left.join(right, "doc_id").select("doc_id", "ord", "candidate", similarity(F.col("f"), F.col("g")).alias("score"))
-    rank = Window.partitionBy("doc_id", "ord").orderBy(F.desc("score"), F.desc("candidate"))
-    best = scored.withColumn("nth", F.row_number().over(rank)).where("nth <= 2")
-    return best.groupBy("doc_id", "ord").agg(
+    """(doc_id, ord, best, matched, second): the two best scores of each promise in its pair's pool; ties go to the
+    larger text. A promise that shares nothing with a pool gets its largest text and 0."""
+    found = scored(promises, pool, lex, num_match).join(pool.select("doc_id", F.col("ord").alias("ord_b"), F.col("item").alias("candidate")), ["doc_id", "ord_b"])
+    rank = Window.partitionBy("doc_id", "ord_a").orderBy(F.desc("score"), F.desc("candidate"))
+    best = found.withColumn("nth", F.row_number().over(rank)).where("nth <= 2").groupBy("doc_id", F.col("ord_a").alias("ord")).agg(
         F.max(F.when(F.col("nth") == 1, F.col("score"))).alias("best"),
         F.max(F.when(F.col("nth") == 1, F.col("candidate"))).alias("matched"),
         F.coalesce(F.max(F.when(F.col("nth") == 2, F.col("score"))), F.lit(0.0)).alias("second"),
     )
+    largest = pool.groupBy("doc_id").agg(F.max("item").alias("largest"))
+    every = promises.select("doc_id", "ord").join(largest, "doc_id").join(best, ["doc_id", "ord"], "left")
+    return every.select("doc_id", "ord", F.coalesce("best", F.lit(0.0)).alias("best"), F.coalesce("matched", "largest").alias("matched"), F.coalesce("second", F.lit(0.0)).alias("second"))
+
+
+def best_of(docs: DataFrame, items: DataFrame, lex: Lexicon, num_match: str = "unit", top: int = 2, broadcast_rows: int = 2_000) -> DataFrame:
+    """(doc_id, place, item_id, score): the ``top`` items(item_id, text) that each of docs(doc_id, text) covers best,
+    ties by item_id. Items are broadcast while their counted number allows it; documents that share nothing with any
+    item give no row."""
+    left = docs.select(F.col("doc_id").alias("ord"), F.col("text").alias("item"))
+    right = items.select(F.col("item_id").alias("ord"), F.col("text").alias("item"))
+    # An item is the promise, a document the evidence: coverage is that of the item.
+    found = scored(right, left, lex, num_match, on=()) if items.count() > broadcast_rows else _against(left, right, lex, num_match)
+    rank = Window.partitionBy("ord_b").orderBy(F.desc("score"), "ord_a")
+    return found.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= top).select(F.col("ord_b").alias("doc_id"), "place", F.col("ord_a").alias("item_id"), "score")
+
+
+def _against(docs: DataFrame, items: DataFrame, lex: Lexicon, num_match: str) -> DataFrame:
+    """Scores of items (broadcast) against documents, by item and then document."""
+    a, b = _parts(docs, [], "ord", lex, num_match, "_b"), _parts(items, [], "ord", lex, num_match, "_a")
+    return _score(a.join(F.broadcast(b), "p"), [], "ord")
 
 
 def reconcile(pairs: DataFrame, lex: Lexicon, num_match: str = "unit") -> DataFrame:
@@ -136,7 +208,8 @@ def reconcile(pairs: DataFrame, lex: Lexicon, num_match: str = "unit") -> DataFr
     status (settled, deferred, doubtful, missing, rolled), score, matched, conflict, also_planned."""
     prev = pairs.select(F.col("pair_id").alias("doc_id"), F.col("prev_text").alias("text"))
     current = pairs.select(F.col("pair_id").alias("doc_id"), F.col("current_text").alias("text"))
-    promises, proof, plans = (dedupe(extract(d, lex, p), lex, num_match) for d, p in ((prev, True), (current, False), (current, True)))
+    # Each is read several times below; what is lost with an executor is made again from the texts.
+    promises, proof, plans = (dedupe(extract(d, lex, p), lex, num_match).persist() for d, p in ((prev, True), (current, False), (current, True)))
     df = promises
     for side, pool in (("ev", proof), ("rl", plans)):
         found = top_two(promises, pool, lex, num_match)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Types that describe a whole document and are not compared with a labelled sentence.
+from ..functions.lexicon import Lexicon
+from ..operators import reconcile as R
+
+# Types that describe a whole document and are not compared with a labelled sentence.
 WHOLE = ("文体缺件", "文体越界", "超篇幅", "文体未知")
 
 
@@ -37,3 +40,43 @@ def threshold_grid(spark: SparkSession, scores: DataFrame) -> DataFrame:
     fit = grid.crossJoin(scores).groupBy("floor", "margin").agg(wrong.alias("errors")).where("errors = 0")
     top = fit.agg(F.max(F.struct("floor", "margin")).alias("top"))
     return fit.crossJoin(F.broadcast(top)).select("floor", "margin", (F.struct("floor", "margin") == F.col("top")).alias("chosen"))
+
+
+def match_scores(cases: DataFrame, lex: Lexicon, num_match: str = "plain") -> DataFrame:
+    """(case_id, label, best, second, lead, hit) of cases(case_id, promise, candidate, truth): the two best
+    candidates of each promise, and whether the best is the true one. ``label`` is 1 where a case has a truth."""
+    score = R.similarity(R.features(F.col("promise"), lex, num_match), R.features(F.col("candidate"), lex, num_match))
+    rank = Window.partitionBy("case_id").orderBy(F.desc("score"), F.desc("candidate"))
+    ranked = cases.withColumn("score", score).withColumn("nth", F.row_number().over(rank))
+    out = ranked.groupBy("case_id").agg(
+        F.max("truth").alias("label"),
+        F.max(F.when(F.col("nth") == 1, F.col("score"))).alias("best"),
+        F.coalesce(F.max(F.when(F.col("nth") == 2, F.col("score"))), F.lit(0.0)).alias("second"),
+        F.max(F.when(F.col("nth") == 1, F.col("truth"))).alias("hit"),
+    )
+    return out.withColumn("lead", F.col("best") - F.col("second"))
+
+
+def match_summary(scores: DataFrame) -> DataFrame:
+    """One row: positives, how many hit, their least score and lead, the highest score and lead of negatives."""
+    true, false = F.col("label") == 1, F.col("label") == 0
+    return scores.agg(
+        F.count_if(true).alias("positives"), F.count_if(true & (F.col("hit") == 1)).alias("hits"),
+        F.min(F.when(true, F.col("best"))).alias("least_score"), F.min(F.when(true, F.col("lead"))).alias("least_lead"),
+        F.max(F.when(false, F.col("best"))).alias("most_false_score"), F.max(F.when(false, F.col("lead"))).alias("most_false_lead"),
+    )
+
+
+def veto_coverage(near: DataFrame, lex: Lexicon) -> DataFrame:
+    """(case_id, score, reason) of near misses(case_id, promise, decoy): every one should have a reason to be refused."""
+    score = R.similarity(R.features(F.col("promise"), lex), R.features(F.col("decoy"), lex))
+    return near.select("case_id", score.alias("score"), R.conflict(F.col("promise"), F.col("decoy"), lex).alias("reason"))
+
+
+def leaks(scores: DataFrame, near: DataFrame, floor: float = R.FLOOR, lead: float = R.LEAD) -> DataFrame:
+    """Cases that the shipped thresholds decide wrongly: negatives they accept, positives they refuse, and near
+    misses (case_id, score, reason) that they accept without a veto."""
+    accepted = (F.col("best") >= floor) & (F.col("lead") >= lead)
+    wrong = scores.where(accepted != (F.col("label") == 1)).select("case_id", F.when(accepted, "accepted").otherwise("refused").alias("fault"))
+    passed = near.where((F.col("score") >= floor) & F.col("reason").isNull()).select("case_id", F.lit("not vetoed").alias("fault"))
+    return wrong.unionByName(passed)

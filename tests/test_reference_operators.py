@@ -1,7 +1,9 @@
 """Rules, privacy, reconciliation and evaluation on small reports of our own."""
 
 import json
+import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from attestra.operators import audit as A
 from attestra.operators import prioritize as P
 from attestra.operators import privacy as V
 from attestra.operators import reconcile as R
-from attestra.plans import catalogue, evaluate, report
+from attestra.plans import catalogue, evaluate, fixtures, report
 from attestra.sources import reports
 
 LEX = lexicon.load()
@@ -18,7 +20,8 @@ LEX = lexicon.load()
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame(list(catalogue.REPORTS.items()), "doc_id string, text string")
+    some = ("good", "loose", "stack", "private", "rated", "boxes")
+    return spark.createDataFrame([(k, fixtures.REPORTS[k]) for k in some], "doc_id string, text string")
 
 
 def test_rules_fire_where_they_should(docs):
@@ -92,11 +95,56 @@ def test_masks(spark):
 
 
 def test_reconcile_statuses(spark):
-    rows = catalogue.reconcile_status(spark, "").orderBy("promise_no").collect()
-    assert [r["status"] for r in rows] == ["settled", "deferred", "doubtful", "rolled"]
-    assert "文档类型不同" in rows[2]["conflict"]
-    counts = catalogue.reconcile_counts(spark, "").first()
-    assert (counts["settled"], counts["missing"]) == (1, 0)
+    rows = {(r["pair_id"], r["promise_no"]): r for r in catalogue.reconcile_status(spark, "").collect()}
+    assert [rows["mixed", k]["status"] for k in range(1, 5)] == ["settled", "deferred", "doubtful", "rolled"]
+    assert "文档类型不同" in rows["mixed", 3]["conflict"]
+    assert [rows["near", k]["status"] for k in range(1, 6)] == ["doubtful"] * 5
+    counts = {r["pair_id"]: r for r in catalogue.reconcile_counts(spark, "").collect()}
+    assert (counts["mixed"]["settled"], counts["mixed"]["missing"]) == (1, 0)
+    assert (counts["silent"]["promises"], counts["silent"]["outcome"]) == (0, "no promise found")
+
+
+def test_labelled_sentences(spark):
+    """All labelled sentences fire as labelled, and no others."""
+    assert tuple(catalogue.rule_precision(spark, "").first()) == (27, 0, 0, 1.0, 1.0)
+    assert catalogue.match_leaks(spark, "").first()[0] == 0
+
+
+CHECKED = ("line_sections", "sentence_flags_gaps", "issues_self_review", "report_gaps", "report_markdown", "document_metrics", "private_rows", "private_redacted", "turn_dedupe", "doc_benchmark_top2")
+
+
+@pytest.mark.parametrize("name", CHECKED)
+def test_against_sql(spark, name):
+    """The rows of the catalogue's queries and of their SQL, on the smallest tables."""
+    sf_dir, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "conversations", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    found = catalogue.QUERIES[name](spark, sf_dir)
+    want = con.execute(catalogue.ORACLES[name])
+    names = [d[0] for d in want.description]
+    rows = lambda some: sorted(repr(tuple(float(x) if hasattr(x, "as_tuple") else x for x in r)) for r in some)
+    assert sorted(found.columns) == sorted(names)
+    assert rows(found.select(*names).collect()) == rows(want.fetchall())
+
+
+def test_lookaround_of_pseudo_precision(spark):
+    """What SQL without lookaround cannot check."""
+    cases = {"已约 30 人面谈": [], "预约 30 人": [], "约 12/30 完成": ["约 1"], "费用 30多数人": [], "工期 3 成交": [], "约 30 人": ["约 30"]}
+    df = spark.createDataFrame([(t, t) for t in cases], "doc_id string, text string")
+    found = {r["doc_id"]: list(r["pseudo"] or []) for r in A.audit(df, LEX).sentences.collect()}
+    assert found == cases
+
+
+def test_long_texts_without_blanks(spark):
+    """A million characters in one run take linear time."""
+    texts = ["a" * 1_000_000, "1" * 1_000_000, "a.b" * 300_000 + "@", "推进" * 300_000, "王老" * 200_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).cache()
+    began = time.time()
+    assert V.redact_table(df).where("n_replaced > 0").count() == 0
+    assert A.audit(df, LEX).metrics.count() == 5
+    items = df.select("doc_id", F.lit(1).cast("long").alias("ord"), F.col("text").alias("item"))
+    assert R.scored(items, items, LEX).where("doc_id = 0").first()["score"] == 1.0
+    assert time.time() - began < 60
 
 
 def brute_similarity(a: str, b: str) -> float:
@@ -160,6 +208,7 @@ def test_precision_and_thresholds(spark):
     want = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "z")], "case_id string, type string")
     assert tuple(evaluate.precision_recall(fired, want).first()[:3]) == (2, 2, 1)
     assert tuple(evaluate.precision_recall(fired, want, strict=True).first()[:3]) == (1, 2, 2)
+    assert evaluate.match_summary(catalogue.match_scores(spark, "")).first()["hits"] == 3
     best = catalogue.threshold_grid(spark, "").where("chosen").first()
     assert best["floor"] <= 0.55 and best["margin"] <= 0.26
 
@@ -176,10 +225,15 @@ def test_read_and_write_files(spark, tmp_path):
     (source / "a.md").write_bytes("﻿联系 13812345678".encode())
     (source / "b.md").write_bytes("完成归档".encode("gbk"))
     (source / "c.md").write_bytes(b" \n")
+    before = spark.conf.get(reports.LEGACY[0], None)
     docs, errors = reports.read_reports(spark, str(source))
+    assert spark.conf.get(reports.LEGACY[0], None) == before
     assert sorted(r["text"] for r in docs.collect()) == ["完成归档", "联系 13812345678"]
     assert errors.count() == 1
     reports.write_redacted(docs, str(tmp_path / "out"))
+    reports.write_redacted_files(docs, str(tmp_path / "files"))
+    (copy,) = (tmp_path / "files" / "name=a-脱敏").glob("*.txt")
+    assert copy.read_text() == "联系 138****5678\n"
     assert "138****5678" in "".join(r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
 
 
