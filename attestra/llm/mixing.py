@@ -7,8 +7,8 @@ the total budget serves every source in proportion to its target.
 
 Cumulative sums never put a source into one task: documents fall into buckets by hash, sums of
 buckets are accumulated per source, and only then is the sum within a bucket added. The cut works
-the same way: copies are summed in slices of virtual time and only the slice in which the budget
-runs out is ordered copy by copy.
+the same way: copies are summed in slices of virtual time, the slice in which the budget runs out is cut into
+slices again, and only a slice of few copies is ordered copy by copy.
 """
 
 from __future__ import annotations
@@ -23,8 +23,11 @@ from .words import PLAIN_WORD
 
 WEIGHTS = (1, 2, 3)
 MOST = 3  # rounds through a source
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_500
+BUCKETS_PER_GROUP = 1 << 12  # buckets whose sums are accumulated in one task
 SLICES = 1 << 12
+FEW = 1_000  # copies of a slice that are ordered in one task
+LEVELS = 4  # slicings at most; SLICES ** LEVELS is finer than a double's digits
 
 
 def targets(sizes: dict[str | None, int], weights: Sequence[int] = WEIGHTS, most: int = MOST) -> dict[str | None, float]:
@@ -54,18 +57,21 @@ def word_count(text: Column) -> Column:
 
 
 def mix(
-    docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[int] = WEIGHTS, most: int = MOST
+    docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[int] = WEIGHTS, most: int = MOST, drawn_by: str = ""
 ) -> DataFrame:
     """Per row: key, size, source_size, target (of its source) and taken (size times copies in the mix).
 
-    Null and empty texts have size 0 and take nothing; a null source is a source of its own;
-    repeated keys are told apart by nothing but their order and take copies each; an empty
-    table gives an empty result. The source table (one row per source) is held on the driver.
+    The order within a source is drawn from a row's key (or the column ``drawn_by``) and text, so rows with null or
+    shared keys are spread like others. Null and empty texts have size 0 and take nothing; a null source is a
+    source of its own; rows that are alike in key and text are interchangeable and take copies each; an empty
+    table gives an empty result; other columns are ignored. The source table (one row per source) is held on the driver.
     """
+    none = F.lit("")
+    by = F.md5(F.concat(F.coalesce(F.col(drawn_by or key).cast("string"), none), F.lit("|"), F.md5(F.coalesce(F.col(text).cast("string"), none))))
     rows = stage(
-        docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(F.col(text)).alias("size")).withColumn(
-            "_draw", F.md5(F.coalesce(F.col("_key").cast("string"), F.lit("")))
-        ),
+        docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(F.col(text)).alias("size"), by.alias("_by")).withColumn(
+            "_draw", F.col("_by")
+        ).drop("_by"),
         "sizes",
     )
     spark = docs.sparkSession
@@ -84,9 +90,14 @@ def mix(
     known = known.withColumn("_bucket", F.floor(drawn_at * buckets / F.lit(1 << 32)))
     drawn = Window.partitionBy("_flow", "_bucket").orderBy("_draw", "_key", "size")
     inside = drawn.rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("_flow").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = known.groupBy("_flow", "_bucket").agg(F.sum("size").alias("_sum"))
-    sums = sums.select("_flow", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    group = F.floor(F.col("_bucket") / BUCKETS_PER_GROUP).alias("_group")
+    sums = known.groupBy("_flow", "_bucket").agg(F.sum("size").alias("_sum")).select("*", group)
+    earlier = Window.partitionBy("_flow").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy("_flow", "_group").agg(F.sum("_sum").alias("_sum"))
+    groups = groups.select("_flow", "_group", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_earlier"))
+    before = Window.partitionBy("_flow", "_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).join(groups, ["_flow", "_group"])
+    sums = sums.select("_flow", "_bucket", (F.col("_before") + F.col("_earlier")).alias("_before"))
     served = (
         known.withColumn("_inside", F.sum("size").over(inside))
         .withColumn("_nth", F.row_number().over(drawn))
@@ -99,21 +110,42 @@ def mix(
     finish = (F.col("_round") * F.col("source_size") + F.col("_upto")) / F.col("target")
     copies = copies.withColumn("_finish", finish)
     # Every flow reaches its target at time 1, where the budget runs out; later times share a slice.
-    lot = F.floor(F.least(F.col("_finish"), F.lit(2.0)) * SLICES)
-    filled = copies.groupBy(lot.alias("_lot")).agg(F.sum("size").alias("size")).orderBy("_lot").collect()
-    edge, spent = 2 * SLICES + 1, 0
-    for r in filled:
-        if spent + r["size"] > budget:
-            edge = r["_lot"]
+    edges: list[int] = []
+    spent = 0
+
+    def lot(time: Column) -> Column:
+        """The slice of a time on the level below the edges found so far."""
+        place = F.least(time, F.lit(2.0)) * SLICES
+        for edge in edges:
+            place = (place - edge) * SLICES
+        return F.floor(place)
+
+    def compared(time: Column, less: bool) -> Column:
+        """Whether a time lies in a slice before the edge, or in the edge slice itself."""
+        place, same, out = F.least(time, F.lit(2.0)) * SLICES, F.lit(True), F.lit(False)
+        for edge in edges:
+            out = out | (same & (F.floor(place) < edge))
+            same = same & (F.floor(place) == edge)
+            place = (place - edge) * SLICES
+        return out if less else same
+
+    for _ in range(LEVELS):
+        here = copies.where(compared(F.col("_finish"), False)).groupBy(lot(F.col("_finish")).alias("_lot"))
+        filled = here.agg(F.sum("size").alias("size"), F.count("*").alias("n")).orderBy("_lot").collect()  # 2 * SLICES + 1 rows at most
+        edge, n = 2 * SLICES + 1, 0
+        for r in filled:
+            if spent + r["size"] > budget:
+                edge, n = r["_lot"], r["n"]
+                break
+            spent += r["size"]
+        edges.append(edge)
+        if n <= FEW:
             break
-        spent += r["size"]
-    rank = Window.orderBy("_finish", "_flow", "_round", "_upto", "_draw", "_key", "_nth").rowsBetween(Window.unboundedPreceding, 0)
-    partly = copies.where(lot == edge).withColumn("_sum", F.sum("size").over(rank)).where(F.col("_sum") <= budget - spent)
+    first = Window.partitionBy(F.lit(0)).orderBy("_finish", "_flow", "_round", "_upto", "_draw", "_key", "_nth").rowsBetween(Window.unboundedPreceding, 0)
+    partly = copies.where(compared(F.col("_finish"), False)).withColumn("_sum", F.sum("size").over(first)).where(F.col("_sum") <= budget - spent)
     partly = partly.groupBy("_flow", "_bucket", "_nth").agg(F.count("*").alias("_more"))
-    ended = sum(
-        (F.when(F.floor(F.least((F.lit(i) * F.col("source_size") + F.col("_upto")) / F.col("target"), F.lit(2.0)) * SLICES) < edge, 1).otherwise(0))
-        for i in range(most)
-    )
+    times = [(F.lit(i) * F.col("source_size") + F.col("_upto")) / F.col("target") for i in range(most)]
+    ended = sum((F.when(compared(t, True), 1).otherwise(0) for t in times), F.lit(0))
     whole = F.when((F.col("size") > 0) & (F.col("target") > 0), ended).otherwise(0)
     out = served.join(partly, ["_flow", "_bucket", "_nth"], "left")
     return out.select(
@@ -131,7 +163,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH rows AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS draw
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS draw
   FROM documents
 ), src AS (
   SELECT source, sum(size)::BIGINT AS ssize, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS flow FROM rows GROUP BY source

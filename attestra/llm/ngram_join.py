@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -68,8 +68,8 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def _frame(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+def _frame(docs: DataFrame, key: str, text: str | Column) -> DataFrame:
+    return docs.select(F.col(key).alias("id"), (F.col(text) if isinstance(text, str) else text).alias("text"))
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -417,7 +417,7 @@ def _postings(docs: DataFrame, order: Order, seed: int, concerned: DataFrame | N
     return shared, about
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", text: str | Column = "text") -> DataFrame:
     """One row per input row: key, n_shingles, component_id (the smallest key reachable by links).
 
     Null and blank texts have no shingles and are their own component. Rows with one key but

@@ -3,7 +3,8 @@
 A proposed span has a base score by kind; a passing checksum (Luhn for cards, mod-97 for IBANs)
 or range check raises it, a failing one drops the span, and words near the span move the score
 up or down. Kinds of the base contract (email, ip, card, phone) are kept once their check
-passes, whatever the context; added kinds (iban, ssn) must reach ``THRESHOLD``.
+passes, whatever the context; added kinds (iban, ssn) must reach ``THRESHOLD``. A checksum that
+passes is not outvoted by context.
 """
 
 from __future__ import annotations
@@ -22,17 +23,18 @@ from .store import read
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
 THRESHOLD = 0.7
+CONFIRMED = 0.8  # least score of a span whose checksum has passed
 CONTEXT = 40  # characters on either side
 #: Words near a span that speak for a kind, and words that speak against personal data.
 FOR_KIND = {
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
-    "ssn": ("ssn", "social security", "sozialversicherung", "securite sociale", "seguridad social"),
+    "ssn": ("ssn", "social security", "sozialversicherung", "sécurité sociale", "securite sociale", "seguridad social"),
 }
 AGAINST = ("version", "isbn", "order", "invoice", "example", "sample")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
@@ -94,9 +96,8 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 def _score(kind: str, text: str, start: int, end: int) -> float:
     """Score of a span of an added kind whose checksum or shape has passed."""
     around = text[max(0, start - CONTEXT) : end + CONTEXT].lower()
-    score = 0.8 if kind == "iban" else 0.5
-    score += 0.3 * any(w in around for w in FOR_KIND[kind])
-    return score - 0.3 * any(w in around for w in AGAINST)
+    score = 0.5 + 0.3 * any(w in around for w in FOR_KIND[kind]) - 0.3 * any(w in around for w in AGAINST)
+    return max(score, CONFIRMED) if kind == "iban" else score
 
 
 def spans(text: str | None) -> list[tuple[int, str, int]]:

@@ -29,6 +29,7 @@ FALSE_TERMS = 0.2  # share of learned terms that may be there by chance
 PURITY = 0.95  # share of a term's documents that are toxic
 FUZZY_LENGTH = 4  # terms this long may be misspelled by one edit
 TRUST = 0.8  # share of documents with misspellings of a term that are toxic, at least
+MOVES = 1_000_000  # transitions of the automaton that are kept
 WINDOW = 8  # words on either side of a hit
 THRESHOLD = 0.7
 #: Words of address and of reporting speech, and quotation marks (fixed values).
@@ -75,10 +76,15 @@ class Automaton:
                 for at in path:
                     self.trie[at].fuzzy = True
                 self.trie[path[-1]].near = max(self.trie[path[-1]].near, near)
+        self._clear()
+
+    def _clear(self) -> None:
+        """Forget all states; they are made again as words reach them."""
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.ends: list[tuple[float, float]] = []
+        self.taken = 0
         self.dead = self._state(frozenset())
         self.start = self._state(self._closure({(0, 0)}))
 
@@ -106,10 +112,13 @@ class Automaton:
                 out.add((n, 1))  # a letter too many
                 out |= {(c, 1) for c in node.children.values() if self.trie[c].fuzzy}  # another letter
         self.moves[state][char] = to = self._state(self._closure(out))
+        self.taken += 1
         return to
 
     def find(self, word: str) -> tuple[float, float]:
         """(weight of an exact term, weight of a misspelled term); 0 where there is none."""
+        if self.taken > MOVES:
+            self._clear()
         at, moves, dead = self.start, self.moves, self.dead
         for char in word:
             to = moves[at].get(char)
@@ -308,13 +317,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Learn from labelled rows outside the held-out fold, ``bound`` of them at most.
 
     Null ids, labels other than 0 and 1 and labels without a document are passed over; a
-    document with several labels counts as toxic if one says so.
+    document with several labels counts as toxic if one says so, and of several texts with one id the
+    smallest is taken. The bounded rows are staged once; nothing else reads the documents.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull() & ~fold(F.col(key)))
     known = known.groupBy(key).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(key), key).limit(bound)
     known = F.broadcast(known.select(F.col(key).alias("_key"), "toxic"))  # bounded rows of two numbers
     part = F.pmod(F.xxhash64("_key"), F.lit(2)).cast("int").alias("part")
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(known, "_key").select("text", F.col("toxic").cast("int"), part)
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(known, "_key")
+    rows = rows.groupBy("_key").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
+    rows = stage(rows.select("text", "toxic", part), "train")
     terms = _learn_terms(rows)
     if not terms:
         return Model([], [-3.0, 1.0, 0.0, 0.0])
