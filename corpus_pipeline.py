@@ -15,45 +15,56 @@ from attestra.llm.words import keep_ids, sized_broadcast
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs``, staged, with the number ``_row`` of each row. Ids may be null or shared by different texts,
-    so stages decide by row; the numbers are written, as they may differ when they are computed again."""
-    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    """(_row, _docs), staged: the number of each row and the row itself, whatever its columns are called. Ids may be null or shared by different texts, so stages decide by row; the numbers are
+    written, as they may differ when they are computed again."""
+    return stage(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_docs")), "numbered")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose posterior says keep."""
-    rows = numbered(docs)
-    return keep_ids(rows, "_row", stage(quality.judge(rows, "_row").where("kept").select("_row"), "kept")).drop("_row")
+    """Rows whose posterior says keep, all their columns with them. Null and empty texts fail the base rule and go;
+    repeated rows are judged each; an empty table stays empty."""
+    rows = docs.select(F.struct(*docs.columns).alias("_docs"), F.col("text").alias("_text"))
+    return quality.judge(rows, "_docs", "_text").where("kept").select("_docs.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked rows: the one with the smallest doc_id (null last), and of several
-    of those the one with the smallest hash of its text, source and language."""
+    of those the one with the smallest hash of its columns. Null and empty texts are linked with nothing and stay;
+    an empty table stays empty."""
     rows = numbered(docs)
-    found = ngram_join.groups(rows, "_row").select(F.col("_row").alias("_r"), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text", "source", "lang"), "_row")
-    ranked = stage(rows.select("_row", order.alias("_order")), "ranked")
-    first = ranked.join(found, ranked["_row"] == found["_r"]).groupBy("component_id").agg(F.min("_order").alias("_first"))
-    return keep_ids(rows, "_row", stage(first.select("_first._row"), "kept")).drop("_row")
+    found = ngram_join.groups(rows, "_row", F.col("_docs.text")).select(F.col("_row").alias("_r"), "component_id")
+    doc_id = F.col("_docs.doc_id")
+    order = F.struct(doc_id.isNull().alias("o1"), doc_id.alias("o2"), F.xxhash64("_docs").alias("o3"), F.col("_row").alias("o4"))
+    ranked = stage(rows.select("_row", order.alias("_order")).join(found, F.col("_row") == F.col("_r")).select("_row", "_order", "component_id"), "ranked")
+    # Groups of one row need no comparison, and what goes is less than what stays.
+    first = ranked.groupBy("component_id").agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    gone = ranked.join(first, "component_id").where("_order.o4 != _first.o4").select("_row")
+    return keep_ids(rows, "_row", stage(gone, "gone"), "left_anti").select("_docs.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark item."""
+    """Rows that hold no benchmark item. Null and empty texts hold none and stay; an empty table stays empty."""
     rows = numbered(docs)
-    hit = stage(decontam.contained(rows, read(spark, sf_dir, "benchmark"), key="_row").select("_row").distinct(), "hit")
-    return keep_ids(rows, "_row", hit, "left_anti").drop("_row")
+    texts = rows.select("_row", F.col("_docs.text").alias("text"))
+    hit = stage(decontam.contained(texts, read(spark, sf_dir, "benchmark"), key="_row").select("_row").distinct(), "hit")
+    return keep_ids(rows, "_row", hit, "left_anti").select("_docs.*")
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by marks; ``n_chars`` follows the text."""
+    """All documents, personal data replaced by marks; ``n_chars`` follows the text. Null texts stay null, with
+    no number of characters; an empty table stays empty."""
     return pii.redact_table(docs).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the number of copies."""
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.expr("taken div size").alias("copies"))
-    taken = stage(taken.groupBy("_id").agg(F.max("copies").alias("copies")), "taken")
-    return docs.join(sized_broadcast(taken, taken.count()), docs["doc_id"].eqNullSafe(taken["_id"])).drop("_id")
+    """The rows that the mix takes, with the number of copies in ``copies`` (which replaces a column of that name).
+    Null and empty texts are not taken; an empty table stays empty."""
+    rows = numbered(docs)
+    flat = rows.select("_row", F.col("_docs.doc_id").alias("doc_id"), F.col("_docs.source").alias("source"), F.col("_docs.text").alias("text"))
+    taken = mixing.mix(flat, key="_row", drawn_by="doc_id").where("taken > 0").select(F.col("_row").alias("_id"), F.expr("taken div size").alias("_n"))
+    taken = stage(taken, "taken")
+    kept = rows.join(sized_broadcast(taken, taken.count()), F.col("_row") == F.col("_id"))
+    return kept.select(*[F.col("_docs")[c].alias(c) for c in docs.columns if c != "copies"], F.col("_n").alias("copies"))
 
 
 STAGES = [
