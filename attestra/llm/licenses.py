@@ -3,11 +3,11 @@
 A text's word shingles are cut into windows of ``2 * stride`` that start every ``stride``
 shingles, so that any run of ``stride`` shingles lies inside one window. Templates longer than that are cut
 into pieces of ``stride`` shingles; a document that holds 0.75 of a template holds 0.75 of one
-of its pieces at least. A window takes the smallest value of its shingles under each of ``BANDS`` hash
-functions, and each value is a band. A window that holds a whole piece of ``stride`` shingles has
-Jaccard similarity 1/2 with it and shares a band with probability 1 - 2 ** -BANDS = 0.99998; a
-window that holds 0.75 of it has similarity 1/3 and is found with probability 0.998; further windows and
-pieces add to this. Templates of one or two shingles are looked up in windows of one shingle. Retrieved templates are verified by exact shingle containment in the whole
+of its pieces at least. A window takes the value of its shingles that is smallest under each of ``BANDS`` masks (the
+value nearest to the mask), and each is a band. Under one mask, a window and a piece share the band with a probability of
+their Jaccard similarity: 1/2 if the window holds the whole piece, 1/3 if it holds 0.75 of it. Masks of one hash are not
+independent functions, so no product of these is claimed; in 20,000 simulated windows each, all that hold a whole piece share a
+band of 16, and 0.9997 of those that hold 0.75 of it (0.999 for pieces of 4). Further windows and pieces add to this. Templates of one or two shingles are looked up in windows of one shingle. Retrieved templates are verified by exact shingle containment in the whole
 document.
 """
 

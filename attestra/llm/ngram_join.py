@@ -53,8 +53,6 @@ MOST_HOT = 500_000
 STARS = 2
 #: Classes that a large group is compared with before its pairs are.
 PIVOTS = 32
-#: Times that a shingle's classes are compared with a pivot before the rest are compared with each other.
-PIVOT_ROUNDS = 2
 #: Bits of a set's parity sketch, in 64-bit words.
 SKETCH_WORDS = 8
 #: Shingles handled at once on an executor, beyond which a text is handled alone.
@@ -380,13 +378,14 @@ def _cross_pairs(placed: DataFrame, tokens: DataFrame, left_out: DataFrame) -> D
     return pairs.where((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
 
 
-def _pivot_pairs(placed: DataFrame, hot: DataFrame, turn: int) -> DataFrame:
-    """(a, b, na, nb): for each hot token, its classes with one pivot, after the first turn one of the largest component;
-    equal pivots recur across tokens, so a group of copies gets ``PIVOTS`` of them at most."""
+def _pivot_pairs(placed: DataFrame, hot: DataFrame) -> DataFrame:
+    """(a, b, na, nb): for each hot token, its classes with two pivots, one of all and one of the largest component;
+    equal pivots recur across tokens, so a group of copies gets ``2 * PIVOTS`` of them at most."""
     rows = placed.join(hot.select("token", "major"), "token")
-    drawn = F.xxhash64("s1", F.pmod("token", F.lit(PIVOTS)), F.lit(turn))
-    tops = rows.where("comp = major") if turn else rows
-    tops = tops.groupBy("token").agg(F.min_by(F.struct("s1", "n", "comp"), drawn).alias("top"))
+    drawn = F.xxhash64("s1", F.pmod("token", F.lit(PIVOTS)))
+    one = F.struct("s1", "n", "comp")
+    tops = rows.groupBy("token").agg(F.min_by(one, drawn).alias("p"), F.min_by(one, F.when(F.col("comp") == F.col("major"), -drawn)).alias("q"))
+    tops = tops.select("token", F.explode(F.array_distinct(F.array("p", "q"))).alias("top"))
     tops = stage(tops.select("token", F.col("top.s1").alias("b"), F.col("top.n").alias("nb"), F.col("top.comp").alias("cb")), "tops")
     pairs = rows.join(tops, "token").where("comp != cb").where(_close("n", "nb"))
     return pairs.select(F.col("s1").alias("a"), "b", F.col("n").alias("na"), "nb").distinct()
@@ -446,18 +445,15 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str | Column = "text") ->
     postings, about = _postings(docs, order, seed)
     for turn in range(HOT_ROUNDS + 1):
         placed, tokens = _placed(postings, about, known)
-        for pivot in range(PIVOT_ROUNDS):
-            hot = tokens.where(F.col("comps") > HOT)
-            if hot.isEmpty():
-                break
-            pairs = stage(_pivot_pairs(placed, hot, pivot), "pivots")
+        hot = tokens.where(F.col("comps") > HOT)
+        if not hot.isEmpty():
+            pairs = stage(_pivot_pairs(placed, hot), "pivots")
             links = verified(pairs, docs, classes, seed)
-            if links.isEmpty():
-                continue
-            known = _add(known, links)
-            for done in (placed, tokens):
-                unstage(done)
-            placed, tokens = _placed(postings, about, known)
+            if not links.isEmpty():
+                known = _add(known, links)
+                for done in (placed, tokens):
+                    unstage(done)
+                placed, tokens = _placed(postings, about, known)
         many = (F.col("comps") > 4 * order.limit) & ~F.col("moved")
         hot = tokens.where(many)
         last = turn == HOT_ROUNDS or hot.isEmpty()

@@ -45,17 +45,17 @@ def sized_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
 FILTER_BITS = 1 << 26
 
 
-def keep_ids(docs: DataFrame, key: str, ids: DataFrame, how: str = "left_semi", limit: int = BROADCAST_ROWS) -> DataFrame:
+def keep_ids(docs: DataFrame, key: str, ids: DataFrame, how: str = "left_semi", limit: int | None = None) -> DataFrame:
     """The rows of ``docs`` whose key is (``left_semi``) or is not (``left_anti``) in the one column
     of ``ids``, a staged table.
 
-    Up to ``limit`` ids are broadcast. Of more, a bit per hash value is: only rows whose bit is set can
+    Up to ``limit`` ids (``BROADCAST_ROWS`` unless given) are broadcast. Of more, a bit per hash value is: only rows whose bit is set can
     have their key among the ids, and these alone are shuffled to find out.
     """
     ids = ids.toDF("_id")
     n = ids.count()
     same = docs[key].eqNullSafe(ids["_id"])
-    if n <= limit:
+    if n <= (BROADCAST_ROWS if limit is None else limit):
         return docs.join(F.broadcast(ids), same, how)
 
     def bit(x: Column) -> Column:
