@@ -440,6 +440,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str | Column = "text") ->
     rows = stage(each.select("id", "n", "s1"), "rows")
     unstage(whole)
 
+    if classes.isEmpty():
+        return rows.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
     pairs = stage(_star_pairs(classes), "stars")
     known = components(verified(pairs, docs, classes, seed))
     postings, about = _postings(docs, order, seed)

@@ -54,10 +54,9 @@ def test_ids_beyond_the_broadcast_limit(spark):
             assert one == two
 
 
-@pytest.mark.parametrize("hot", [1, 3])
-def test_ngram_join_when_all_is_frequent(spark, monkeypatch, hot):
+def test_ngram_join_when_all_is_frequent(spark, monkeypatch):
     """Shingles move after every round, and prefixes hold little else than moved ones."""
-    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "HOT", 1)
     monkeypatch.setattr(words, "BROADCAST_ROWS", 5)
     rows = near_copies()[::2]
     got = [tuple(r) for r in ngram_join.groups(frame(spark, rows)).collect()]
@@ -199,3 +198,29 @@ def test_ip_and_iban_context():
     assert time.time() - began < 10
     assert "iban" in pii.joined(pii.spans("invoice sample DE89 3704 0044 0532 0130 00 version"))
     assert [k for _, k, _ in pii.spans("sécurité sociale 123-45-6789")] == ["ssn"]
+
+
+def test_pipeline_run_against_brute_force(spark, tmp_path):
+    """All stages on a small corpus, against what each should keep, worked out in Python."""
+    import corpus_pipeline as C
+
+    item = "alpha beta gamma delta epsilon zeta eta theta iota"
+    spark.createDataFrame([(1, item), (2, "never seen words stand here today")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [" ".join(f"c{i}n{k} text" for k in range(60)) + "." for i in range(14)]
+    rows = list(enumerate(clean)) + [(20, clean[3]), (21, clean[4] + " tail"), (22, clean[4]), (23, "short text"), (24, None), (25, "x y z " * 60)]
+    rows += [(26, " ".join(f"j{k}%%% |" for k in range(80))), (27, f"{clean[0]} new {item} {clean[1]}"), (28, clean[5].replace("c5n9 ", "mail a.b@c.example now "))]
+    docs = frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+
+    kept = [r for r in rows if r[0] not in (23, 24, 25, 26)]
+    groups = {(i, c) for i, _, c in brute_groups(kept)}
+    kept = [r for r in kept if (r[0], r[0]) in groups and item not in r[1]]
+    texts = {i: pii.redact(t) for i, t in kept}
+    got = C.run(spark, str(tmp_path)).collect()
+    assert len({r["doc_id"] for r in got}) == len(got) and {r["doc_id"] for r in got} <= set(texts)
+    assert all(r["text"] == texts[r["doc_id"]] and r["n_chars"] == len(r["text"]) and 1 <= r["copies"] <= 3 for r in got)
+    size = {i: len(t.split()) for i, t in texts.items()}
+    sources = {r["doc_id"]: r["source"] for r in docs.collect()}
+    total = {s: sum(size[i] for i in size if sources[i] == s) for s in set(sources.values())}
+    for s, target in mixing.targets({s: n for s, n in total.items() if n}).items():
+        assert abs(sum(r["copies"] * size[r["doc_id"]] for r in got if r["source"] == s) - target) <= 2 * max(size.values())
