@@ -1,17 +1,20 @@
 """Commitments of one period against the report of the next.
 
 Items are extracted per document, near copies dropped, every promise scored against the evidence and the
-plans of its pair (an equi-join on the pair), and the best two scores decide: a match counts if it is high
+plans of its pair (inside one row for the pair, so that grams are not shuffled), and the best two scores decide: a match counts if it is high
 enough and far enough ahead, unless object or document type contradict.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import Lexicon, alternation
+from ..store import stage, unstage
+from .coverage import kept_of, two_best
 
 # Thresholds, least lengths, words that join and that close commitments.
 FLOOR, LEAD, TRACE = 0.16, 0.16, 0.12
@@ -129,14 +132,24 @@ def extract(docs: DataFrame, lex: Lexicon, plan: bool) -> DataFrame:
     return listed.unionByName(said.where(F.length(T.normalize(F.col("item"))) >= PROMISE_MIN))
 
 
-def dedupe(items: DataFrame, lex: Lexicon, num_match: str = "unit", threshold: float = SAME) -> DataFrame:
-    """Items (doc_id, ord, item) without those too similar to an earlier kept one of their document."""
-    close = scored(items, items, lex, num_match, earlier=True).where(F.col("score") >= threshold)
-    close = close.groupBy("doc_id", F.col("ord_a").alias("ord")).agg(F.collect_list("ord_b").alias("conf"))
-    every = items.join(close, ["doc_id", "ord"], "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "item", "conf"))).alias("all"))
-    none = F.array().cast("array<bigint>")
-    kept = F.aggregate("all", none, lambda acc, x: F.when(F.arrays_overlap(acc, F.coalesce(x["conf"], none)), acc).otherwise(F.concat(acc, F.array(x["ord"]))))
-    return every.withColumn("kept", kept).select("doc_id", "kept", F.explode("all").alias("x")).where("array_contains(kept, x.ord)").select("doc_id", "x.ord", "x.item")
+def dedupe(items: DataFrame, lex: Lexicon, num_match: str = "unit", threshold: float = SAME, on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Items (on..., ord, item) without those too similar to an earlier kept one of their document."""
+
+    @F.arrow_udf("array<int>")
+    def kept(ords: pa.Array, norms: pa.Array, nums: pa.Array) -> pa.Array:
+        found = (kept_of(*x, threshold) for x in zip(ords.to_pylist(), norms.to_pylist(), nums.to_pylist(), strict=True))
+        return pa.array(list(found), pa.list_(pa.int32()))
+
+    every = _grouped(items, lex, num_match, on, "all")
+    every = every.withColumn("kept", kept(F.col("all.ord"), F.col("all.norm"), F.col("all.nums")))
+    return every.select(*on, F.explode(F.transform("kept", lambda k: F.get("all", k))).alias("x")).select(*on, "x.ord", "x.item")
+
+
+def _grouped(items: DataFrame, lex: Lexicon, num_match: str, on: tuple[str, ...], name: str) -> DataFrame:
+    """(on..., name): a group's items in order, with what similarity needs of them; its grams are taken in the row."""
+    numbers = F.regexp_extract_all("item", F.lit(lex.pattern("num") if num_match == "unit" else PLAIN_NUMBER), F.lit(0))
+    one = F.struct("ord", "item", T.normalize(F.col("item")).alias("norm"), numbers.alias("nums"))
+    return items.groupBy(*on).agg(F.array_sort(F.collect_list(one)).alias(name))
 
 
 def _entities(x: Column, lex: Lexicon) -> Column:
@@ -170,19 +183,20 @@ def conflict(a: Column, b: Column, lex: Lexicon) -> Column:
     )
 
 
-def top_two(promises: DataFrame, pool: DataFrame, lex: Lexicon, num_match: str = "unit") -> DataFrame:
-    """(doc_id, ord, best, matched, second): the two best scores of each promise in its pair's pool; ties go to the
+def top_two(promises: DataFrame, pool: DataFrame, lex: Lexicon, num_match: str = "unit", on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(on..., ord, best, matched, second): the two best scores of each promise in its pair's pool; ties go to the
     larger text. A promise that shares nothing with a pool gets its largest text and 0."""
-    found = scored(promises, pool, lex, num_match).join(pool.select("doc_id", F.col("ord").alias("ord_b"), F.col("item").alias("candidate")), ["doc_id", "ord_b"])
-    rank = Window.partitionBy("doc_id", "ord_a").orderBy(F.desc("score"), F.desc("candidate"))
-    best = found.withColumn("nth", F.row_number().over(rank)).where("nth <= 2").groupBy("doc_id", F.col("ord_a").alias("ord")).agg(
-        F.max(F.when(F.col("nth") == 1, F.col("score"))).alias("best"),
-        F.max(F.when(F.col("nth") == 1, F.col("candidate"))).alias("matched"),
-        F.coalesce(F.max(F.when(F.col("nth") == 2, F.col("score"))), F.lit(0.0)).alias("second"),
-    )
-    largest = pool.groupBy("doc_id").agg(F.max("item").alias("largest"))
-    every = promises.select("doc_id", "ord").join(largest, "doc_id").join(best, ["doc_id", "ord"], "left")
-    return every.select("doc_id", "ord", F.coalesce("best", F.lit(0.0)).alias("best"), F.coalesce("matched", "largest").alias("matched"), F.coalesce("second", F.lit(0.0)).alias("second"))
+
+    @F.arrow_udf("array<struct<best: double, matched: string, second: double>>")
+    def two(norms: pa.Array, nums: pa.Array, others: pa.Array) -> pa.Array:
+        found = (two_best(*x) for x in zip(norms.to_pylist(), nums.to_pylist(), others.to_pylist(), strict=True))
+        one = pa.struct([("best", pa.float64()), ("matched", pa.string()), ("second", pa.float64())])
+        return pa.array(list(found), pa.list_(one))
+
+    both = _grouped(promises, lex, num_match, on, "asked").join(_grouped(pool, lex, num_match, on, "pool_items"), [*on])
+    both = both.withColumn("found", two(F.col("asked.norm"), F.col("asked.nums"), F.col("pool_items")))
+    rows = both.select(*on, F.explode(F.arrays_zip(F.col("asked.ord").alias("ord"), F.col("found").alias("found"))).alias("x"))
+    return rows.select(*on, "x.ord", "x.found.best", "x.found.matched", "x.found.second")
 
 
 def best_of(docs: DataFrame, items: DataFrame, lex: Lexicon, num_match: str = "unit", top: int = 2, broadcast_rows: int = 2_000) -> DataFrame:
@@ -208,11 +222,16 @@ def reconcile(pairs: DataFrame, lex: Lexicon, num_match: str = "unit") -> DataFr
     status (settled, deferred, doubtful, missing, rolled), score, matched, conflict, also_planned."""
     prev = pairs.select(F.col("pair_id").alias("doc_id"), F.col("prev_text").alias("text"))
     current = pairs.select(F.col("pair_id").alias("doc_id"), F.col("current_text").alias("text"))
-    # Each is read several times below; what is lost with an executor is made again from the texts.
-    promises, proof, plans = (dedupe(extract(d, lex, p), lex, num_match).persist() for d, p in ((prev, True), (current, False), (current, True)))
-    df = promises
-    for side, pool in (("ev", proof), ("rl", plans)):
-        found = top_two(promises, pool, lex, num_match)
+    # Promises and both pools go through the same three queries; each is staged, so that no plan holds another one.
+    pools = [extract(d, lex, p).withColumn("pool", F.lit(side)) for side, d, p in (("pr", prev, True), ("ev", current, False), ("rl", current, True))]
+    items = stage(pools[0].unionByName(pools[1]).unionByName(pools[2]), "items")
+    kept = stage(dedupe(items, lex, num_match, on=("doc_id", "pool")), "kept")
+    unstage(items)
+    df = kept.where("pool = 'pr'").drop("pool")
+    asked = df.withColumn("pool", F.explode(F.array(F.lit("ev"), F.lit("rl"))))
+    best = stage(top_two(asked, kept.where("pool != 'pr'"), lex, num_match, on=("doc_id", "pool")), "best")
+    for side in ("ev", "rl"):
+        found = best.where(F.col("pool") == side)
         df = df.join(found.select("doc_id", "ord", *[F.col(c).alias(f"{side}_{c}") for c in ("best", "matched", "second")]), ["doc_id", "ord"], "left")
         df = df.na.fill(0.0, [f"{side}_best", f"{side}_second"]).na.fill("", [f"{side}_matched"])
         df = df.withColumn(f"{side}_why", F.when(F.col(f"{side}_matched") != "", conflict(F.col("item"), F.col(f"{side}_matched"), lex)))
