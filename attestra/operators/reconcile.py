@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicon import Lexicon, alternation
 from ..store import stage, unstage
-from .coverage import kept_of, two_best
+from .coverage import best_in_row, kept_of, two_best
 
 # Thresholds, least lengths, words that join and that close commitments.
 FLOOR, LEAD, TRACE = 0.16, 0.16, 0.12
@@ -199,22 +199,23 @@ def top_two(promises: DataFrame, pool: DataFrame, lex: Lexicon, num_match: str =
     return rows.select(*on, "x.ord", "x.found.best", "x.found.matched", "x.found.second")
 
 
-def best_of(docs: DataFrame, items: DataFrame, lex: Lexicon, num_match: str = "unit", top: int = 2, broadcast_rows: int = 2_000) -> DataFrame:
+def best_of(docs: DataFrame, items: DataFrame, lex: Lexicon, num_match: str = "unit", top: int = 2, broadcast_rows: int = 2_000, broadcast_chars: int = 500_000) -> DataFrame:
     """(doc_id, place, item_id, score): the ``top`` items(item_id, text) that each of docs(doc_id, text) covers best,
-    ties by item_id. Items are broadcast while their counted number allows it; documents that share nothing with any
-    item give no row."""
+    ties by item_id. While the items' counted number and length allow it, their grams are sent to the documents, whose own
+    grams never leave their row; else both are shuffled. Documents that share nothing with any item give no row; rows with
+    one id count as one text, that of a document in the first case only."""
+    # An item is the promise, a document the evidence: coverage is that of the item.
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    if n <= broadcast_rows and chars <= broadcast_chars:
+        pattern = lex.pattern("num") if num_match == "unit" else PLAIN_NUMBER
+        norm, numbers = T.normalize(F.col("text")), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        left, right = (d.select(d[k].alias("id"), norm.alias("norm"), numbers.alias("nums")) for d, k in ((docs, "doc_id"), (items, "item_id")))
+        return best_in_row(left, right, top).toDF("doc_id", "place", "item_id", "score")
     left = docs.select(F.col("doc_id").alias("ord"), F.col("text").alias("item"))
     right = items.select(F.col("item_id").alias("ord"), F.col("text").alias("item"))
-    # An item is the promise, a document the evidence: coverage is that of the item.
-    found = scored(right, left, lex, num_match, on=()) if items.count() > broadcast_rows else _against(left, right, lex, num_match)
     rank = Window.partitionBy("ord_b").orderBy(F.desc("score"), "ord_a")
-    return found.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= top).select(F.col("ord_b").alias("doc_id"), "place", F.col("ord_a").alias("item_id"), "score")
-
-
-def _against(docs: DataFrame, items: DataFrame, lex: Lexicon, num_match: str) -> DataFrame:
-    """Scores of items (broadcast) against documents, by item and then document."""
-    a, b = _parts(docs, [], "ord", lex, num_match, "_b"), _parts(items, [], "ord", lex, num_match, "_a")
-    return _score(a.join(F.broadcast(b), "p"), [], "ord")
+    found = scored(right, left, lex, num_match, on=()).withColumn("place", F.row_number().over(rank)).where(F.col("place") <= top)
+    return found.select(F.col("ord_b").alias("doc_id"), "place", F.col("ord_a").alias("item_id"), "score")
 
 
 def reconcile(pairs: DataFrame, lex: Lexicon, num_match: str = "unit") -> DataFrame:
