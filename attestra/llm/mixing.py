@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lean import small_table
 from .store import read, stage
 from .words import PLAIN_WORD
 
@@ -80,8 +81,8 @@ def mix(
     aims = targets(sizes, weights, most)
     budget = sum(sizes.values())
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    flows = spark.createDataFrame(
-        [(i, s, sizes[s], float(aims[s])) for i, s in enumerate(names)], "_flow int, _source string, source_size long, target double"
+    flows = small_table(
+        spark, [(i, s, sizes[s], float(aims[s])) for i, s in enumerate(names)], "_flow int, _source string, source_size long, target double"
     )
     known = rows.join(F.broadcast(flows), rows["_source"].eqNullSafe(flows["_source"])).drop("_source")
 

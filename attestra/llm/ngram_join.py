@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
+from .lean import lean
 from .shingle_sets import fingerprint, sets
 from .store import read, stage, unstage
 from .words import keep_ids
@@ -122,7 +123,7 @@ def _summaries(docs: DataFrame, kind: str, seed: int) -> DataFrame:
     schema = pa.schema([("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("first", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("block", pa.int32()), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, counted, kind = np.zeros((2, CELLS), np.int64), set(), None
+        cells, counted, kind = np.zeros((2, CELLS), np.int32), set(), None
         for batch, found in _in_pieces(batches, seed):
             kind = batch.schema.field(0).type
             marks = [fingerprint(s, seed) for s in found]
@@ -136,7 +137,7 @@ def _summaries(docs: DataFrame, kind: str, seed: int) -> DataFrame:
             shingles = np.concatenate([np.empty(0, np.int64), *fresh])
             for row in range(2):
                 at, sign = _cell(shingles, row)
-                cells[row] += np.bincount(at, sign, CELLS).astype(np.int64)
+                np.add.at(cells[row], at, sign.astype(np.int32))
             none = [None] * len(found)
             columns = [[len(s) for s in found], [m[0] for m in marks], [m[1] for m in marks], _lists([s[:STARS] for s in found]), _lists([_sketch(s) for s in found]), none, none]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(columns, schema, strict=True)]], ["id", *schema.names])
@@ -144,7 +145,7 @@ def _summaries(docs: DataFrame, kind: str, seed: int) -> DataFrame:
             blocks, parts = _blocks(cells)
             yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, kind), *[pa.nulls(BLOCKS, f.type) for f in schema][:5], pa.array(blocks, pa.int32()), pa.array(parts, pa.binary())], ["id", *schema.names])
 
-    return docs.mapInArrow(run, f"id {kind}, n int, s1 long, s2 long, first array<long>, sketch array<long>, block int, cells binary")
+    return docs.mapInArrow(lean(run), f"id {kind}, n int, s1 long, s2 long, first array<long>, sketch array<long>, block int, cells binary")
 
 
 @dataclass
@@ -177,9 +178,9 @@ def _order(whole: DataFrame) -> Order:
                 sums[block] = sums[block] + part if block in sums else part
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())], ["block", "cells"])
 
-    parts = whole.where("block IS NOT NULL").select("block", "cells").mapInArrow(run, "block int, cells binary")
+    parts = whole.where("block IS NOT NULL").select("block", "cells").mapInArrow(lean(run), "block int, cells binary")
     cells = np.zeros((BLOCKS, 2 * CELLS // BLOCKS), np.int32)
-    for r in parts.repartition(BLOCKS, "block").mapInArrow(run, "block int, cells binary").collect():
+    for r in parts.repartition(BLOCKS, "block").mapInArrow(lean(run), "block int, cells binary").collect():
         cells[r["block"]] = _unpacked(bytes(r["cells"]))
     cells = cells.reshape(2, CELLS)
     return Order(cells, HOT + 4 * float(np.median(np.abs(cells))) / 0.6745, np.empty(0, np.int64))
@@ -196,7 +197,7 @@ def _fragments(docs: DataFrame, seed: int) -> DataFrame:
             parts = [p for s in found for p in np.split(s, np.searchsorted(s, cuts))]
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(frags), _lists(parts)], ["s1", "frag", "part"])
 
-    return docs.mapInArrow(run, "s1 long, frag int, part array<long>")
+    return docs.mapInArrow(lean(run), "s1 long, frag int, part array<long>")
 
 
 def _reordered(docs: DataFrame, order: Order, seed: int) -> DataFrame:
@@ -228,7 +229,7 @@ def _reordered(docs: DataFrame, order: Order, seed: int) -> DataFrame:
                 [pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(moved, pa.int32()), _lists(heads), _lists(late)], ["s1", "n", "f", "head", "late"]
             )
 
-    return docs.mapInArrow(run, "s1 long, n int, f int, head array<long>, late array<long>")
+    return docs.mapInArrow(lean(run), "s1 long, n int, f int, head array<long>, late array<long>")
 
 
 def _frequent(docs: DataFrame, seed: int) -> DataFrame:
@@ -238,7 +239,7 @@ def _frequent(docs: DataFrame, seed: int) -> DataFrame:
         for _, found in _in_pieces(batches, seed):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["token"])
 
-    tokens = docs.mapInArrow(run, "token long")
+    tokens = docs.mapInArrow(lean(run), "token long")
     return tokens.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > HOT)
 
 
@@ -272,7 +273,7 @@ def _shared(postings: DataFrame) -> DataFrame:
     spark = postings.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = postings.select("token", "s1").repartition(parts, "token")
-    return postings.sortWithinPartitions("token", "s1").mapInArrow(run, "token long, s1 long")
+    return postings.sortWithinPartitions("token", "s1").mapInArrow(lean(run), "token long, s1 long")
 
 
 def _close(n1: str, n2: str) -> str:

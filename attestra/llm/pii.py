@@ -14,9 +14,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lean import lean, pieces
 from .store import read
 
 #: Kinds in the order that breaks ties between spans with one start.
@@ -167,12 +169,17 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def redact_table(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` redacted and every other column as it was."""
+    """``docs`` with ``text`` redacted and every other column as it was. A worker holds the strings of one piece of a batch."""
     at = docs.columns.index(text)
 
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
-        return texts.map(redact, na_action="ignore")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for piece in pieces(batch):
+                yield pa.array([redact(t) for t in piece.to_pylist()], pa.string())
+
+    @F.arrow_udf("string")
+    def masked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return lean(run)(batches)
 
     names = [f"_c{i}" for i in range(len(docs.columns))]
     frame = docs.toDF(*names)

@@ -13,9 +13,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from .lean import pieces
+
 SIZE = 5
 #: Texts are hashed together up to this many bytes; a longer text is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -79,16 +81,12 @@ def _chunk(data: np.ndarray, offsets: np.ndarray, seed: int) -> Iterator[np.ndar
 
 def sets(texts: pa.Array, seed: int = 1) -> Iterator[np.ndarray]:
     """Sorted distinct shingles of each text of the array; null and blank texts have none."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    _, offset_buffer, value_buffer = texts.buffers()
-    offsets = np.frombuffer(offset_buffer, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(value_buffer, np.uint8) if value_buffer else np.empty(0, np.uint8)
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
-        part = offsets[at : to + 1]
-        yield from _chunk(data[part[0] : part[-1]], part - part[0], seed)
-        at = to
+    for part in pieces(texts, CHUNK):
+        part = part.cast(pa.large_string()).fill_null("")
+        _, offset_buffer, value_buffer = part.buffers()
+        offsets = np.frombuffer(offset_buffer, np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(value_buffer, np.uint8) if value_buffer else np.empty(0, np.uint8)
+        yield from _chunk(data[offsets[0] : offsets[-1]], offsets - offsets[0], seed)
 
 
 def fingerprint(shingles: np.ndarray, seed: int = 1) -> tuple[int, int]:

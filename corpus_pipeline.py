@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import decontam, mixing, ngram_join, pii, quality
+from attestra.llm.lean import small_table
 from attestra.llm.store import read, stage
 from attestra.llm.words import keep_ids, sized_broadcast
 
@@ -29,7 +30,7 @@ def numbered(docs: DataFrame) -> DataFrame:
         with suppress(AnalysisException):
             placed = docs.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"), whole)
             paths = sorted(r["_path"] for r in placed.select("_path").distinct().collect())
-            files = docs.sparkSession.createDataFrame(list(zip(paths, range(len(paths)), strict=True)), "_path string, _file long")
+            files = small_table(docs.sparkSession, list(zip(paths, range(len(paths)), strict=True)), "_path string, _file long")
             return placed.join(F.broadcast(files), "_path").select((F.shiftleft("_file", FILE_BITS) + F.col("_at")).alias("_row"), "_docs")
     return stage(docs.select(F.monotonically_increasing_id().alias("_row"), whole), "numbered")
 
